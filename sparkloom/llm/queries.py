@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.llm.mixture import describe, similarity_clusters
+from sparkloom.llm.neighbours import neighbours
 from sparkloom.llm.packing import pack
 from sparkloom.llm.pairs import pair_counts
 from sparkloom.llm.sentences import sentences
@@ -35,6 +37,25 @@ def p3_found(spark, folder):
     return p3_pairs(spark, folder).select("asin_a", "asin_b")
 
 
+def p4_found(spark, folder):
+    return similarity_clusters(_table(spark, folder, "embeddings_b2")).labels.select("first_item_id", "item_id")
+
+
+def p4_clusters(spark, folder):
+    """Size and most typical items of each cluster."""
+    return describe(similarity_clusters(_table(spark, folder, "embeddings_b2")))
+
+
+def p7_neighbours(spark, folder):
+    """The five most similar items of every item."""
+    return neighbours(_table(spark, folder, "embeddings_b2"))
+
+
+def p7_found(spark, folder):
+    a, b = F.col("item_id"), F.col("neighbour_id")
+    return p7_neighbours(spark, folder).select(F.least(a, b).alias("item_id_a"), F.greatest(a, b).alias("item_id_b")).distinct()
+
+
 def p8_ids(spark, folder):
     """Token ids of every document."""
     return encode(_table(spark, folder, "documents"))
@@ -50,7 +71,7 @@ def p10_found(spark, folder):
     return sentences(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sequences, p3_found, p3_pairs, p8_ids, p9_pack, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_sequences, p3_found, p3_pairs, p4_found, p4_clusters, p7_found, p7_neighbours, p8_ids, p9_pack, p10_found)}
 
 _P2 = """
 WITH v AS (SELECT DISTINCT user_id AS u, parent_asin AS a, timestamp_ms AS t FROM interactions
@@ -69,7 +90,19 @@ SELECT x.a AS asin_a, y.a AS asin_b
 FROM b x JOIN b y ON x.u = y.u AND x.a < y.a JOIN n na ON na.a = x.a JOIN n nb ON nb.a = y.a, total
 GROUP BY x.a, y.a, na.n, nb.n, total.n
 HAVING count(*) >= 20 AND count(*) * total.n * 1.0 / (na.n * nb.n) >= 4"""
+_P4 = """
+WITH RECURSIVE v AS (SELECT DISTINCT item_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings_b2
+                     WHERE len(embedding) = 64 AND list_bool_or([x <> 0 FOR x IN embedding])),
+n AS (SELECT item_id, e, sqrt(list_inner_product(e, e)) AS l FROM v),
+links AS (SELECT a.item_id AS i, b.item_id AS j FROM n a JOIN n b ON a.item_id <> b.item_id
+          WHERE list_inner_product(a.e, b.e) / (a.l * b.l) >= 0.85),
+reach AS (SELECT DISTINCT i AS root, i AS item_id FROM links
+          UNION SELECT reach.root, links.j FROM reach JOIN links ON links.i = reach.item_id WHERE links.j > reach.root),
+first AS (SELECT item_id, min(root) AS first_item_id FROM reach GROUP BY item_id)
+SELECT first_item_id, item_id FROM first
+WHERE first_item_id IN (SELECT first_item_id FROM first GROUP BY 1 HAVING count(*) >= 4)"""
 SQL = {
+    "p4_found": _P4,
     "p2_sequences": _P2.format(n=", count(*) AS n_users"),
     "p2_found": _P2.format(n=""),
     "p3_found": _P3,
