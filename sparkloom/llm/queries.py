@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.mixture import describe, similarity_clusters
 from sparkloom.llm.neighbours import neighbours
+from sparkloom.llm.overlaps import cross_split_pairs, overlap_report
 from sparkloom.llm.packing import pack
 from sparkloom.llm.pairs import pair_counts
+from sparkloom.llm.products import product_groups, same_product
 from sparkloom.llm.sentences import sentences
 from sparkloom.llm.sequences import frequent_sequences
 from sparkloom.llm.tokens import encode
@@ -46,6 +48,27 @@ def p4_clusters(spark, folder):
     return describe(similarity_clusters(_table(spark, folder, "embeddings_b2")))
 
 
+def p5_found(spark, folder):
+    pairs = cross_split_pairs(_table(spark, folder, "catalog"))
+    a, b = F.col("eval_id"), F.col("train_id")
+    return pairs.select(F.least(a, b).alias("item_id_a"), F.greatest(a, b).alias("item_id_b"))
+
+
+def p5_report(spark, folder):
+    """Rows of each evaluation split and main category that occur in training, and their pairs."""
+    rows = _table(spark, folder, "catalog")
+    return overlap_report(rows, cross_split_pairs(rows))
+
+
+def p6_found(spark, folder):
+    return same_product(_table(spark, folder, "items"))
+
+
+def p6_groups(spark, folder):
+    """The product of every listed key."""
+    return product_groups(_table(spark, folder, "items"))
+
+
 def p7_neighbours(spark, folder):
     """The five most similar items of every item."""
     return neighbours(_table(spark, folder, "embeddings_b2"))
@@ -71,7 +94,7 @@ def p10_found(spark, folder):
     return sentences(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sequences, p3_found, p3_pairs, p4_found, p4_clusters, p7_found, p7_neighbours, p8_ids, p9_pack, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_sequences, p3_found, p3_pairs, p4_found, p4_clusters, p5_found, p5_report, p6_found, p6_groups, p7_found, p7_neighbours, p8_ids, p9_pack, p10_found)}
 
 _P2 = """
 WITH v AS (SELECT DISTINCT user_id AS u, parent_asin AS a, timestamp_ms AS t FROM interactions
