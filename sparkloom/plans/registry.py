@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("key_totals",)
+MODULES = ("key_totals", "text_plans", "catalog_plans", "history_plans", "sid_plans")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
