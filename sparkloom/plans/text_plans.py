@@ -10,7 +10,7 @@ from sparkloom.plans.common import S4, SID, SPACE, sids
 from sparkloom.plans.registry import table
 
 
-def _clean(c: str, n: int) -> str:
+def clean_sql(c: str, n: int) -> str:
     """clean_text as a SQL expression."""
     flat = f"trim(regexp_replace(regexp_replace(coalesce({c}, ''), '<[^>]+>', ' ', 'g'), '{SPACE}', ' ', 'g'))"
     words = f"string_split({flat}, ' ')"
@@ -80,12 +80,12 @@ QUERIES = {
     for f in (clean_text, strip_markup, clean_documents, metadata_prompts, sid_strings, shard_paths, first_elements, prompt_periods, label_masks, token_vocabulary)
 }
 SQL = {
-    "clean_text": f"SELECT item_id, {_clean('title', 40)} AS title, {_clean('description', 500)} AS description FROM catalog",
+    "clean_text": f"SELECT item_id, {clean_sql('title', 40)} AS title, {clean_sql('description', 500)} AS description FROM catalog",
     "strip_markup": f"SELECT item_id, trim(regexp_replace(regexp_replace(coalesce(title, ''), '<[^>]+>', ' ', 'g'), '{SPACE}', ' ', 'g')) AS title FROM catalog",
     "metadata_prompts": f"""
 SELECT item_id, '<seq> ' || concat_ws(' | ', 'title: ' || t, CASE WHEN coalesce(sub_category, '') <> '' AND lower(sub_category) <> 'unknown' THEN 'category: ' || sub_category END,
        CASE WHEN d <> '' THEN 'description: ' || d END) AS input_text
-FROM (SELECT item_id, sub_category, {_clean('title', 500)} AS t, {_clean('description', 500)} AS d FROM catalog)""",
+FROM (SELECT item_id, sub_category, {clean_sql('title', 500)} AS t, {clean_sql('description', 500)} AS d FROM catalog)""",
     "sid_strings": SID + """
 SELECT item_id, t || '<sid_eos>' AS target_text, [sid_0, sid_1, sid_2, sid_3] AS sid, [sid_0, sid_1, -1, -1] AS padded
 FROM (SELECT *, '<sid_' || sid_0 || '><sid_' || sid_1 || '><sid_' || sid_2 || '><sid_' || sid_3 || '>' AS t FROM item2feat)""",
