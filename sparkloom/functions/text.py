@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The mode markers and the end token of training texts.
 SEQ, SEARCH, SID_EOS, SID_PAD = "<seq>", "<search>", "<sid_eos>", "<sid_pad>"
@@ -20,7 +21,7 @@ def collapse_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _first_words(texts: pd.Series) -> pd.Series:
     def one(text: str | None) -> str | None:
         if text is None:

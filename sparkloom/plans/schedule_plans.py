@@ -23,7 +23,7 @@ def anchored_adamw_step(spark, folder):
     """The first step for every line of the order table, its price as the gradient's scale."""
     o = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", (F.col("o_totalprice") / 1e5).alias("x"))
     new = L.anchored_adamw(F.col("x"), F.lit(0.0), F.lit(0.0), F.lit(1.0), F.col("x") - 2, 1, lr=0.1)
-    return o.select("o_orderkey", *(F.round(c, 6).alias(n) for n, c in new.items()))
+    return o.select("o_orderkey", *(F.round(c, 9).alias(n) for n, c in new.items()))
 
 
 QUERIES = {f.__name__: f for f in (lr_schedules, anchored_adamw_step)}
@@ -38,5 +38,5 @@ FROM range({TOTAL}) t(i)""",
     "anchored_adamw_step": f"""
 WITH a AS (SELECT o_orderkey, o_totalprice / 1e5 AS x, o_totalprice / 1e5 - 2 AS g FROM orders),
 b AS (SELECT o_orderkey, x - 0.1::DOUBLE * ({_A} * g / {_A}) / (sqrt({_B} * g * g / {_B}) + 1e-8::DOUBLE) AS t, {_A} * g AS m, {_B} * g * g AS v FROM a)
-SELECT o_orderkey, round(t - 0.001::DOUBLE * (t - 1.0), 6) AS theta, round(m, 6) AS m, round(v, 6) AS v FROM b""",
+SELECT o_orderkey, round(t - 0.001::DOUBLE * (t - 1.0), 9) AS theta, round(m, 9) AS m, round(v, 9) AS v FROM b""",
 }
