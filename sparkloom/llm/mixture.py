@@ -26,13 +26,13 @@ from sparkloom.llm.vectors import Vectors, matrix, moments, unit, usable
 from sparkloom.shared import materialize
 
 #: Reduced dimensions; rows of the sample that starts the mixtures; rounds on it and on all rows.
-DIMS, FIT_ROWS, START_ROUNDS, ALL_ROUNDS = 12, 12_000, 12, 2
+DIMS, FIT_ROWS, START_ROUNDS, ALL_ROUNDS = 20, 12_000, 12, 2
 #: Rows for each component in the largest mixture, and the most components.
 ROWS_PER_COMPONENT, MOST_COMPONENTS = 1500, 128
 #: Shrinkage of covariances to a multiple of the identity, and the least variance.
 SHRINK, FLOOR = 0.1, 1e-2
 #: A vector joins components whose log responsibility is within this of its best.
-GAP = 12.0
+GAP = 5.0
 #: Vectors of a block.
 BLOCK = 4096
 
