@@ -4,8 +4,9 @@ All planning is on the histogram of sizes, which has at most one entry for each
 to the capacity and so does not grow with the corpus. Large sizes are cut into groups of
 equal cardinality and rounded up to the largest of their group; a linear programme over
 all configurations of these few sizes gives how many containers of each configuration
-to fill. The rounded slots are then replaced by actual sizes, and what is left over and
-all small sizes go by best fit, again as counts, into the space that remains. The plan
+to fill. The rounded slots, but the smallest of each container, are then replaced by
+actual sizes, and what is left over and all small sizes go by best fit, again as counts,
+into the space that remains. The plan
 says which ranks of a size go to which containers; documents find their container by
 their rank among those of equal size, which is computed in parallel.
 """
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.shared import materialize
 
-#: A size is large from this fraction of the capacity; bounds a configuration to as many parts.
-LARGE = 1 / 5
+#: A size is large from one of these fractions of the capacity, whichever needs the fewest containers; 1 / 5
+#: bounds a configuration to four parts, 1 leaves every size to the best fit.
+LARGE = (1 / 5, 1 / 4, 1 / 3, 1 / 2, 1.0)
 #: Groups of large sizes; bounds the configurations (at most C(groups + 4, 4)).
 GROUPS = 14
 #: Salts of documents of equal size, so that one common size is no single task.
@@ -113,8 +115,13 @@ def solve(patterns: np.ndarray, demand: np.ndarray) -> dict[int, int]:
     return out
 
 
-def plan(sizes: list[int], counts: list[int], capacity: int, groups: int = GROUPS, large: float = LARGE) -> tuple[list[Run], int]:
-    """The runs for a histogram of sizes in 1..capacity, and the number of containers."""
+def plan(sizes: list[int], counts: list[int], capacity: int, groups: int = GROUPS, large: tuple[float, ...] = LARGE) -> tuple[list[Run], int]:
+    """The runs for a histogram of sizes in 1..capacity, and the number of containers, for the best of the limits of large sizes."""
+    return min((plan_from(sizes, counts, capacity, groups, x) for x in large), key=lambda p: p[1])
+
+
+def plan_from(sizes: list[int], counts: list[int], capacity: int, groups: int, large: float) -> tuple[list[Run], int]:
+    """The plan that takes sizes from this fraction of the capacity for large."""
     hist = dict(zip(sizes, counts))
     used = dict.fromkeys(hist, 0)
     runs: list[Run] = []
@@ -148,6 +155,8 @@ def plan(sizes: list[int], counts: list[int], capacity: int, groups: int = GROUP
                 full = min([n, *(int(left[i]) // int(a) for i, a in enumerate(row) if a)])
                 m = full or 1  # the last containers of a configuration may lack some of its parts
                 fill = [min(int(a), int(left[i])) if not full else int(a) for i, a in enumerate(row)]
+                if sum(fill) > 1:  # the smallest part is left to the best fit, which also uses what rounding wastes
+                    fill[max(i for i, a in enumerate(fill) if a)] -= 1
                 if not any(fill):
                     break
                 used_up = np.zeros(m, np.int64)
@@ -208,7 +217,7 @@ def plan(sizes: list[int], counts: list[int], capacity: int, groups: int = GROUP
 
 def pack(
     sizes: DataFrame, limits: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens",
-    groups: int = GROUPS, large: float = LARGE, buckets: int = BUCKETS,
+    groups: int = GROUPS, large: tuple[float, ...] = LARGE, buckets: int = BUCKETS,
 ) -> DataFrame:
     """(pack_name, container_id, doc_id, part, first_token, n_tokens): where each document goes.
 
