@@ -28,7 +28,7 @@ from sparkloom.llm.vectors import Vectors, first_members, matrix, moments, unit,
 from sparkloom.shared import materialize
 
 #: Width of a cell in standard deviations of the projections, and cells visited by a query: coarse and fine.
-COARSE_WIDTH, COARSE_PROBES, FINE_WIDTH, FINE_TABLES = 1.9, 14, 1.8, 8
+COARSE_WIDTH, COARSE_PROBES, FINE_WIDTH, FINE_TABLES = 1.9, 20, 1.8, 10
 #: Vectors and queries of a task.
 BLOCK, QUERY_BLOCK = 8192, 65_536
 #: Candidates beyond k that are ranked again in double.

@@ -92,12 +92,13 @@ def product_pairs(items: DataFrame, least_cosine: float = LEAST_COSINE) -> tuple
     spark = items.sparkSession
     made, listed = classes(items)
     words = made.select("class", "brand", F.explode(F.array_distinct("words")).alias("word"))
-    # a brand's name is no line's name; names of lines go with one brand
+    # names of brands and kinds are no lines' names; names of lines go with one brand
     brands = made.filter("brand IS NOT NULL").select(F.explode(F.split("brand", " ")).alias("word")).distinct()
+    kinds = made.filter("kind IS NOT NULL").select(F.explode(F.split("kind", r"\W+")).alias("word")).distinct()
     by_brand = words.groupBy("word", "brand").agg(F.count("*").alias("n"))
     branded = by_brand.filter("brand IS NOT NULL").groupBy("word").agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.max_by("brand", F.struct("n", "brand")).alias("brand"))
     total = by_brand.groupBy("word").agg(F.sum("n").alias("df"))
-    rare = total.join(branded, "word", "left").filter(F.col("n").isNull() | (F.col("most") >= ONE_BRAND * F.col("n"))).join(brands, "word", "left_anti").select("word", "df", F.col("brand").alias("likely"))
+    rare = total.join(branded, "word", "left").filter(F.col("n").isNull() | (F.col("most") >= ONE_BRAND * F.col("n"))).join(brands.unionByName(kinds).distinct(), "word", "left_anti").select("word", "df", F.col("brand").alias("likely"))
     keyed = words.join(rare.filter("df > 0"), "word").select("class", "likely", F.array_join(F.array_sort(F.split("word", "")), "").alias("block"))
     keyed = materialize(keyed.distinct())
 
