@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from math import exp
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.functions.vectors import doubles, normalise
+from sparkloom.functions.vectors import dot, doubles, normalise
 
 QUERY_BLOCK, ITEM_BLOCK = 4096, 16_384
 
@@ -60,31 +62,28 @@ def mean_vectors(rows: DataFrame, key: str, vec: str = "embedding", order: str |
 
 
 def pair_scores(pairs: DataFrame, scale: float = 1.0) -> DataFrame:
-    """(i, j, s): inner products of every image with every text of one batch; a batch is small by definition."""
-    left = pairs.select(F.col("pair_id").alias("i"), doubles(F.col("image")).alias("a"))
-    right = pairs.select(F.col("pair_id").alias("j"), doubles(F.col("text")).alias("b"))
-    from sparkloom.functions.vectors import dot
-
-    return left.crossJoin(F.broadcast(right)).select("i", "j", (dot(F.col("a"), F.col("b")) * scale).alias("s"))
+    """(batch_id, i, j, s): inner products of every image with every text of its batch; a batch has a fixed size."""
+    left = pairs.select("batch_id", F.col("pair_id").alias("i"), doubles(F.col("image")).alias("a"))
+    right = pairs.select("batch_id", F.col("pair_id").alias("j"), doubles(F.col("text")).alias("b"))
+    return left.join(right, "batch_id").select("batch_id", "i", "j", (dot(F.col("a"), F.col("b")) * scale).alias("s"))
 
 
 def in_batch_recall(pairs: DataFrame, k: int = 10) -> DataFrame:
-    """(n_pairs, recall): the share of images whose own text is among the k best of the batch."""
-    w = W.partitionBy("i").orderBy(F.desc("s"), "j")
+    """(n_pairs, recall): the share of images whose own text is among the k best of their batch."""
+    w = W.partitionBy("batch_id", "i").orderBy(F.desc("s"), "j")
     ranked = pair_scores(pairs).withColumn("r", F.row_number().over(w))
     return ranked.filter("i = j").agg(F.count("*").alias("n_pairs"), F.avg((F.col("r") <= k).cast("double")).alias("recall"))
 
 
 def infonce(pairs: DataFrame, logit_scale: float = 1.0) -> DataFrame:
-    """(loss): the mean of both directions' cross entropies of the scaled products."""
-    from math import exp
-
+    """(loss): the mean over all pairs of both directions' cross entropies within their batch."""
     s = pair_scores(pairs, exp(logit_scale))
-    own = s.filter("i = j").select(F.col("i").alias("id"), F.col("s").alias("own"))
+    own = s.filter("i = j").select("batch_id", F.col("i").alias("id"), F.col("s").alias("own"))
 
     def side(c: str) -> DataFrame:
-        top = s.groupBy(c).agg(F.max("s").alias("top"))
-        total = s.join(top, c).groupBy(c).agg((F.log(F.sum(F.exp(F.col("s") - F.col("top")))) + F.max("top")).alias("lse"))
-        return total.select(F.col(c).alias("id"), F.col("lse").alias(f"lse_{c}"))
+        top = s.groupBy("batch_id", c).agg(F.max("s").alias("top"))
+        total = s.join(top, ["batch_id", c]).groupBy("batch_id", c).agg((F.log(F.sum(F.exp(F.col("s") - F.col("top")))) + F.max("top")).alias("lse"))
+        return total.select("batch_id", F.col(c).alias("id"), F.col("lse").alias(f"lse_{c}"))
 
-    return own.join(side("i"), "id").join(side("j"), "id").agg((F.avg((F.col("lse_i") + F.col("lse_j")) / 2 - F.col("own"))).alias("loss"))
+    both = own.join(side("i"), ["batch_id", "id"]).join(side("j"), ["batch_id", "id"])
+    return both.agg((F.avg((F.col("lse_i") + F.col("lse_j")) / 2 - F.col("own"))).alias("loss"))

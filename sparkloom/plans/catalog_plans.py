@@ -50,9 +50,9 @@ def reviews_semi_join(spark, folder):
 
 def per_category_limit(spark, folder):
     """The first 50 items of each main category, of the union of its parts."""
-    items = table(spark, folder, "catalog").select("main_category", "item_id")
-    kinds = [items.filter(F.col("item_id") % 2 == k) for k in (0, 1)]
-    return C.first_per_group(kinds[0].unionByName(kinds[1]), "main_category", ["item_id"], 50)
+    items = table(spark, folder, "catalog")
+    parts = [items.filter(c).select("main_category", "item_id") for c in ("has_image", "NOT coalesce(has_image, false)")]
+    return C.first_per_group(parts[0].unionByName(parts[1]), "main_category", ["item_id"], 50)
 
 
 def todo_anti_join(spark, folder):

@@ -73,18 +73,20 @@ def soft_prompts(spark, folder):
 
 
 def _pairs(spark, folder):
-    v = vectors(spark, folder).filter("item_id < 128")
+    """Every vector with the next one, in batches of 128."""
+    v = vectors(spark, folder)
     nxt = v.select((F.col("item_id") - 1).alias("pair_id"), F.col("embedding").alias("text"))
-    return v.select(F.col("item_id").alias("pair_id"), F.col("embedding").alias("image")).join(nxt, "pair_id")
+    both = v.select(F.col("item_id").alias("pair_id"), F.col("embedding").alias("image")).join(nxt, "pair_id")
+    return both.withColumn("batch_id", F.floor(F.col("pair_id") / 128))
 
 
 def in_batch_recall(spark, folder):
-    """V4: a batch of 127 pairs."""
+    """V4: over all batches."""
     return I.in_batch_recall(_pairs(spark, folder))
 
 
 def infonce_loss(spark, folder):
-    """V5: the same batch."""
+    """V5: over the same batches."""
     return I.infonce(_pairs(spark, folder), 1.0).select(F.round("loss", 6).alias("loss"))
 
 
@@ -132,9 +134,9 @@ t AS (SELECT user_id AS query_id, item_id AS target FROM h WHERE from_end = 1 AN
 k AS (SELECT user_id AS query_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY list_inner_product(q, x) DESC, item_id) AS rank
       FROM q, v WHERE user_id IN (SELECT query_id FROM t) QUALIFY rank <= 100)"""
 _PAIR = """
-WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id < 128),
-p AS (SELECT a.id, a.x AS image, b.x AS txt FROM v a JOIN v b ON b.id = a.id + 1),
-s AS (SELECT a.id AS i, b.id AS j, list_inner_product(a.image, b.txt) AS s FROM p a, p b)"""
+WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+p AS (SELECT a.id, a.id // 128 AS batch, a.x AS image, b.x AS txt FROM v a JOIN v b ON b.id = a.id + 1),
+s AS (SELECT a.id AS i, b.id AS j, list_inner_product(a.image, b.txt) AS s FROM p a JOIN p b USING (batch))"""
 _BOX = """
 WITH b AS (SELECT event_id % 97 AS image_id, ((event_id * 7919) % 1009) / 1009 AS score, CAST(event_id % 53 - 10 AS DOUBLE) AS x0, CAST(event_id % 47 - 10 AS DOUBLE) AS y0,
            CAST(event_id % 53 - 10 + event_id % 31 AS DOUBLE) AS x1, CAST(event_id % 47 - 10 + event_id % 29 AS DOUBLE) AS y1 FROM events)"""

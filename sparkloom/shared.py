@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,13 +46,16 @@ def ship(spark: SparkSession) -> None:
     if _OWN.get("shipped") == sc.applicationId:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    fd, path = tempfile.mkstemp(prefix="sparkloom-", suffix=".zip")
-    with os.fdopen(fd, "wb") as f, zipfile.ZipFile(f, "w") as z:
+    folder = urlparse(shared_dir(spark))
+    if folder.scheme not in ("", "file"):
+        return  # the cluster has the package from --py-files
+    os.makedirs(folder.path, exist_ok=True)
+    path = f"{folder.path}/sparkloom-{uuid.uuid4().hex}.zip"
+    with open(path, "wb") as f, zipfile.ZipFile(f, "w") as z:
         for folder, _, names in os.walk(root):
             for n in names:
                 if n.endswith(".py"):
                     full = os.path.join(folder, n)
                     z.write(full, os.path.join("sparkloom", os.path.relpath(full, root)))
-    atexit.register(lambda: os.path.exists(path) and os.remove(path))
     sc.addPyFile(path)
     _OWN["shipped"] = sc.applicationId

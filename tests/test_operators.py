@@ -192,8 +192,8 @@ def test_contrastive_loss_bounds(spark):
     import numpy as np
 
     eye = np.eye(6)
-    df = spark.createDataFrame([(i, eye[i].tolist(), eye[i].tolist()) for i in range(6)], "pair_id bigint, image array<double>, text array<double>")
-    swapped = spark.createDataFrame([(i, eye[i].tolist(), eye[(i + 1) % 6].tolist()) for i in range(6)], "pair_id bigint, image array<double>, text array<double>")
+    df = spark.createDataFrame([(i, eye[i].tolist(), eye[i].tolist()) for i in range(6)], "pair_id bigint, image array<double>, text array<double>").withColumn("batch_id", F.lit(0))
+    swapped = spark.createDataFrame([(i, eye[i].tolist(), eye[(i + 1) % 6].tolist()) for i in range(6)], "pair_id bigint, image array<double>, text array<double>").withColumn("batch_id", F.lit(0))
     assert I.infonce(df, 3.0).first().loss < 0.01 < I.infonce(swapped, 3.0).first().loss
     assert I.in_batch_recall(df, 1).first().recall == 1.0
 
