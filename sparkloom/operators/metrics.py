@@ -26,6 +26,13 @@ def recall_ndcg(ranked: DataFrame, targets: DataFrame, ks: list[int]) -> DataFra
     return wide.select(F.explode(pairs).alias("m")).select("m.metric", "m.value")
 
 
+def recall_by_group(ranked: DataFrame, targets: DataFrame, group: str, ks: list[int]) -> DataFrame:
+    """(group, n_queries, recall@k..): recall of each group of queries; targets carry the group."""
+    hits = hit_ranks(ranked, targets.select("query_id", "target")).join(targets.select("query_id", group), "query_id")
+    shares = [F.avg(F.coalesce(F.col("hit") <= k, F.lit(False)).cast("double")).alias(f"recall_{k}") for k in ks]
+    return hits.groupBy(group).agg(F.count("*").alias("n_queries"), *shares)
+
+
 def miss_rate(generated: DataFrame, valid: DataFrame, keys: list[str]) -> DataFrame:
     """(n_generated, n_missing, rate): the share of generated keys that are not valid; none give 0."""
     marked = generated.join(valid.select(*keys).distinct().withColumn("_ok", F.lit(1)), keys, "left")

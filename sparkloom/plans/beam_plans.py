@@ -12,6 +12,7 @@ from sparkloom.operators import beam as B
 from sparkloom.operators import corpus as K
 from sparkloom.operators import history as H
 from sparkloom.operators import metrics as M
+from sparkloom.operators import sid as S
 from sparkloom.plans.common import CODES, EVENTS, S4, SID, codebooks, events, sids, vectors
 from sparkloom.plans.text_plans import clean_sql
 
@@ -46,6 +47,14 @@ def silent_miss_rate(spark, folder):
     return M.miss_rate(top, sids(spark, folder), NAMES).select("n_generated", "n_missing", F.round("rate", 6).alias("rate"))
 
 
+def recall_by_label(spark, folder):
+    """How often a vector's own id's item is found first or among five, for each label."""
+    own = sids(spark, folder).join(S.sid_to_item(sids(spark, folder)).withColumnRenamed("item_id", "target"), NAMES)
+    labels = spark.read.parquet(f"{folder}/embeddings.parquet").select(F.col("vec_id").alias("query_id"), F.col("label").cast("bigint").alias("label"))
+    targets = own.select(F.col("item_id").alias("query_id"), "target").join(labels, "query_id")
+    return M.recall_by_group(_search(spark, folder, True), targets, "label", [1, 5])
+
+
 def beam_seq_markov(spark, folder):
     """T7 with counts: the item after a user's last one, from all pairs of successive items of other events."""
     known = K.events_with_sids(events(spark, folder), sids(spark, folder))
@@ -93,7 +102,7 @@ def cpt_corpus(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        beam_search_quantizer, beam_unconstrained, hallucination_rate, silent_miss_rate, beam_seq_markov, text_queries, sequence_queries, search_queries, behavior_sequences, cpt_corpus,
+        beam_search_quantizer, beam_unconstrained, hallucination_rate, silent_miss_rate, recall_by_label, beam_seq_markov, text_queries, sequence_queries, search_queries, behavior_sequences, cpt_corpus,
     )
 }
 
@@ -130,6 +139,10 @@ SQL = {
     "beam_unconstrained": _beam(False) + " SELECT * FROM k",
     "hallucination_rate": _beam(False) + _TOP,
     "silent_miss_rate": _beam(True) + _TOP,
+    "recall_by_label": _beam(True) + """, o AS (SELECT i.item_id AS query_id, l.item_id AS target FROM item2feat i JOIN l USING (sid_0, sid_1, sid_2, sid_3)),
+h AS (SELECT o.query_id, min(k.rank) AS hit FROM o LEFT JOIN k ON k.query_id = o.query_id AND k.item_id = o.target GROUP BY 1)
+SELECT CAST(label AS BIGINT) AS label, count(*) AS n_queries, avg(CASE WHEN hit <= 1 THEN 1.0::DOUBLE ELSE 0 END) AS recall_1, avg(CASE WHEN hit <= 5 THEN 1.0::DOUBLE ELSE 0 END) AS recall_5
+FROM h JOIN embeddings ON vec_id = query_id GROUP BY 1""",
     "text_queries": f"""
 WITH e AS ({EVENTS}), h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp_ms DESC, ordinal DESC) AS f FROM e QUALIFY count(*) OVER (PARTITION BY user_id) >= 3)
 SELECT a.user_id, p_name AS query_text, b.item_id AS target FROM h a JOIN h b ON a.user_id = b.user_id AND a.f = 2 AND b.f = 1 JOIN part ON p_partkey = a.item_id WHERE p_name <> ''""",

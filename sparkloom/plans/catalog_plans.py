@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions.text import clean_text as clean
 from sparkloom.operators import catalog as C
 from sparkloom.plans.registry import table
+from sparkloom.plans.text_plans import clean_sql
 
 
 def item_ids(spark, folder):
@@ -62,6 +64,13 @@ def todo_anti_join(spark, folder):
     return C.anti(rows, done, ["item_id"])
 
 
+def image_rows(spark, folder):
+    """Training items with an image and a vector, with their cleaned title."""
+    rows = table(spark, folder, "catalog").filter("split = 'train' AND has_image")
+    kept = C.semi(rows, table(spark, folder, "embeddings_b2").filter("embedding IS NOT NULL"), ["item_id"])
+    return kept.select("item_id", clean(F.col("title"), 200).alias("text"))
+
+
 def interacted_keys(spark, folder):
     """Distinct keys."""
     return table(spark, folder, "interactions").select("parent_asin").distinct()
@@ -83,7 +92,7 @@ def ingest_counts(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        item_ids, last_timestamps, temporal_split, split_counts, dedupe_last_wins, whitelist_semi_join, reviews_semi_join, per_category_limit, todo_anti_join,
+        item_ids, last_timestamps, temporal_split, split_counts, dedupe_last_wins, whitelist_semi_join, reviews_semi_join, per_category_limit, todo_anti_join, image_rows,
         interacted_keys, exact_distinct_users, ingest_counts,
     )
 }
@@ -102,6 +111,8 @@ SELECT coalesce(parent_asin, '') AS parent_asin, coalesce(user_id, '') AS user_i
 FROM interactions SEMI JOIN items USING (parent_asin)""",
     "per_category_limit": "SELECT main_category, item_id FROM catalog QUALIFY row_number() OVER (PARTITION BY main_category ORDER BY item_id) <= 50",
     "todo_anti_join": "SELECT item_id, image_url FROM catalog ANTI JOIN embeddings_b2 USING (item_id) WHERE image_url <> ''",
+    "image_rows": f"""SELECT item_id, {clean_sql('title', 200)} AS text FROM catalog
+WHERE split = 'train' AND has_image AND item_id IN (SELECT item_id FROM embeddings_b2 WHERE embedding IS NOT NULL)""",
     "interacted_keys": "SELECT DISTINCT parent_asin FROM interactions",
     "exact_distinct_users": "SELECT count(DISTINCT user_id) AS n_users FROM interactions",
     "ingest_counts": "SELECT count(*) AS n_seen, count(*) FILTER (WHERE parent_asin IN (SELECT parent_asin FROM items)) AS n_kept FROM interactions",
