@@ -121,6 +121,8 @@ CASES = [
     ("ذكر د. علي ذلك في ج. 5 من الكتاب. من دفع؟", ["ذكر د. علي ذلك في ج. 5 من الكتاب.", "من دفع؟"]),
     ("Nobody agreed ... yet it stayed (who owned it? who sold it?) there. Ok", ["Nobody agreed ... yet it stayed (who owned it? who sold it?) there.", "Ok"]),
     ("Unclosed (bracket here. Next sentence.", ["Unclosed (bracket here.", "Next sentence."]),
+    ("It was an account of it.Nobody agreed at maps.example.org/a.html today.", ["It was an account of it.", "Nobody agreed at maps.example.org/a.html today."]),
+    ("Version 2.0.5 by St.Moe cost 3.5 marks at U.S.Steel", ["Version 2.0.5 by St.Moe cost 3.5 marks at U.S.Steel"]),
     ("== Title. More ==", []), ("[[Category:A. B]]", []), ("   ", []), ("|x. y", []), ("﻿: word", ["word"]), ("no end mark", ["no end mark"]),
 ]
 
