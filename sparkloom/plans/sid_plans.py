@@ -118,7 +118,7 @@ SELECT CAST(sum(n_items) AS BIGINT) AS n_total, count(*) AS n_unique, count(*) F
     "codebook_usage": SID + " " + " UNION ALL ".join(f"SELECT {k} AS level, count(DISTINCT sid_{k}) AS n_used, count(DISTINCT sid_{k}) / {CODES}.0::DOUBLE AS share_used FROM item2feat" for k in range(4)),
     "largest_collisions": SID + _GROUPS + " SELECT n_items, item_ids[1] AS first_item FROM g WHERE n_items >= 2 ORDER BY n_items DESC, first_item LIMIT 5",
     "trie_levels": SID + " " + " UNION ALL ".join(
-        f"SELECT DISTINCT {k + 1} AS length, " + ", ".join(f"sid_{i}" if i <= k else f"-1 AS sid_{i}" for i in range(4)) + " FROM item2feat" for k in range(4)
+        f"SELECT DISTINCT CAST({k + 1} AS BIGINT) AS length, " + ", ".join(f"sid_{i}" if i <= k else f"-1 AS sid_{i}" for i in range(4)) + " FROM item2feat" for k in range(4)
     ),
     "trie_membership": SID + f""", x AS (SELECT item_id, {S4} FROM item2feat UNION ALL SELECT item_id, sid_0, sid_1, sid_2, (sid_3 + 1) % {CODES} FROM item2feat)
 SELECT item_id, {S4}, ({S4}) IN (SELECT ({S4}) FROM item2feat) AS valid FROM x""",
