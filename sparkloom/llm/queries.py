@@ -85,9 +85,14 @@ def p8_ids(spark, folder):
 
 
 def p9_pack(spark, folder):
-    """The container of every document, for each capacity."""
-    lengths = materialize(encode(_table(spark, folder, "documents"), lengths_only=True))
-    return pack(lengths, _table(spark, folder, "pack_limits"))
+    """The container of every document, for each capacity, sized by the tokenizer that its setting names."""
+    docs, limits = _table(spark, folder, "documents"), _table(spark, folder, "pack_limits")
+    out = None
+    for (name,) in sorted(limits.select("tokenizer").distinct().collect()):  # a few settings
+        lengths = materialize(encode(docs, name=name, lengths_only=True))
+        packed = pack(lengths, limits.filter(F.col("tokenizer") == name))
+        out = packed if out is None else out.unionByName(packed)
+    return out
 
 
 def p10_found(spark, folder):

@@ -41,9 +41,12 @@ _UNIT = re.compile(
 )
 _NUMBER_WORD = "|".join(NUMBER_WORDS)
 _COUNT = re.compile(
-    rf"\b(?:pack|set|box|lot) of (\d+|{_NUMBER_WORD})\b|\b(\d+)\s*-?\s*(?:pack|pk|pcs|pc|pieces|piece|count|ct)\b|\b(single)\b"
+    rf"\b(?:pack|set|box|lot) of (\d+|{_NUMBER_WORD})\b|(?<![\w.-])(\d{{1,4}})[ -]?(?:pack|pk|pcs|pc|pieces|piece|count|ct)\b(?! of)|\b(single)\b"
+)
+#: Two or three letters and a number of four to six digits, with a letter of the variant; a number with a unit is none.
+_MODEL = re.compile(
+    r"(?<![a-z0-9])(?!(?:of|by|in|to|pc)[ -])((?:[a-z]{2}[- ]?|[a-z]{3}-?))(\d{4,6})(?:[- ]?([a-fh-knp-uxyz]))?(?![a-z0-9])(?![ -]?(?:" + "|".join(sorted((u for u in UNITS if u.isalpha()), key=len, reverse=True)) + r")(?![a-z0-9]))"
 )
-_MODEL = re.compile(r"(?<![a-z0-9])([a-z]{2,3})[- ]?(\d{4,6})[- ]?([a-z])?(?![a-z0-9])")
 
 
 def plain(text: str | None) -> str:
@@ -81,19 +84,19 @@ def attributes(title: str | None, features: str | None) -> dict[str, set]:
     for text in (plain(title), plain(features)):
         text = " ".join(text.split())
         taken = [False] * (len(text) + 1)
-        for m in _COUNT.finditer(text):
-            n = m.group(1) or m.group(2) or "1"
-            out.setdefault("count", set()).add(NUMBER_WORDS.get(n) or int(n))
+        for m in _MODEL.finditer(text):
+            out.setdefault("model", set()).add((m.group(1).rstrip("- ") + m.group(2) + (m.group(3) or "")).upper())
             taken[m.start() : m.end()] = [True] * (m.end() - m.start())
-        for m in _UNIT.finditer(text):
+        for m in _COUNT.finditer(text):
             if not taken[m.start()]:
+                n = m.group(1) or m.group(2) or "1"
+                out.setdefault("count", set()).add(NUMBER_WORDS.get(n) or int(n))
+                taken[m.start() : m.end()] = [True] * (m.end() - m.start())
+        for m in _UNIT.finditer(text):
+            if not any(taken[m.start() : m.end()]):
                 unit = m.group(2).replace(".", "").replace("floz", "fl oz")
                 kind, factor = UNITS[unit]
                 out.setdefault(kind, set()).add(round(float(m.group(1)) * factor, 1))
-                taken[m.start() : m.end()] = [True] * (m.end() - m.start())
-        for m in _MODEL.finditer(text):
-            if m.group(1) not in UNITS and m.group(1) not in ("of", "by", "pc", "pk") and not any(taken[m.start() : m.end()]):
-                out.setdefault("model", set()).add((m.group(1) + m.group(2) + (m.group(3) or "")).upper())
         for w in re.findall(r"[a-z]+", text):
             if w in COLOURS:
                 out.setdefault("colour", set()).add(COLOURS[w])

@@ -185,5 +185,7 @@ def test_products(spark):
 def test_attributes():
     a = attributes("Pan 8 in 3pk LW-76390-B blk", "Quantity: Set of Three | Size: 203 mm")
     assert a["count"] == {3} and a["model"] == {"LW76390B"} and a["colour"] == {"black"} and len(a["length"]) == 2
+    b = attributes("Mat - 5 in - FT-61886 - Pack of 8 CM 41640D 4 ft 12000 mAh", "Model: KG-39118 | Contents: 8-Pack")
+    assert b["count"] == {8} and b["model"] == {"FT61886", "CM41640D", "KG39118"} and b["charge"] == {12000.0} and b["length"] == {127.0, 1219.2}
     assert agree({"length": {203.2}}, {"length": {203.0}}) and not agree({"memory": {1024.0}}, {"memory": {256.0}}) and agree({"count": {1}}, {})
     assert canonical_words("Kadoco <b>Basket</b> basket, Best Choice!") == ("kadoco", "basket")
