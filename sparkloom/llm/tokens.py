@@ -33,7 +33,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Words in the lexicon at most; it bounds the driver's work and the mapped file.
 LEXICON_WORDS = 1 << 14
 #: Characters of pieces that a worker remembers, and words it remembers.
-CACHE_CHARS, CACHE_WORDS = 1 << 23, 1 << 18
+CACHE_CHARS, CACHE_WORDS = 1 << 21, 1 << 17
 
 
 def load_ranks(name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR):
@@ -307,18 +307,21 @@ def encode(
             n = batch.num_rows
             at = 0
             while at < n:  # output batches of bounded size, whatever the texts' length
-                outs, size, first = [], 0, at
-                while at < n and size < 1 << 24:
+                outs, sizes, first = [], [0], at
+                held = 0
+                while at < n and held < 1 << 23:
                     out = encoder.text(batch.column(1)[at].as_py() or "")
-                    outs.append(out)
-                    size += len(out)
+                    sizes.append(len(out) // 4)
+                    if not lengths_only:
+                        outs.append(out)
+                        held += len(out)
                     at += 1
-                offsets = np.cumsum([0, *(len(o) // 4 for o in outs)], dtype=np.int32)
                 ids = batch.column(0).slice(first, at - first)
                 if lengths_only:
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offsets).astype(np.int64))], ["doc_id", "n_tokens"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(sizes[1:], pa.int64())], ["doc_id", "n_tokens"])
                 else:
+                    offsets = pa.array(np.cumsum(sizes, dtype=np.int32))
                     flat = pa.array(np.frombuffer(b"".join(outs), np.int32))
-                    yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "ids"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "ids"])
 
     return slim.mapInArrow(work, "doc_id bigint, n_tokens bigint" if lengths_only else "doc_id bigint, ids array<int>")
