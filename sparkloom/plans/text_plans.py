@@ -21,7 +21,7 @@ def clean_sql(c: str, n: int) -> str:
 
 def clean_text(spark, folder):
     """Titles at 200 and descriptions at 500 characters."""
-    return table(spark, folder, "catalog").select("item_id", X.clean_text(F.col("title"), 40).alias("title"), X.clean_text(F.col("description"), 500).alias("description"))
+    return table(spark, folder, "catalog").select("item_id", X.clean_text(F.col("title"), 200).alias("title"), X.clean_text(F.col("description"), 500).alias("description"))
 
 
 def strip_markup(spark, folder):

@@ -44,6 +44,18 @@ def test_clean_text_truncates(spark):
     assert len(got) <= 100 and not got.endswith(" ")
 
 
+def test_clean_text_query_keeps_titles_to_200(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    words = [f"word{i:03d}" for i in range(40)]  # seven letters and a space each
+    title, longer = "A hex bolt of zinc plated steel, M8 x 40 mm, fully threaded, bag of 100", " ".join(words)
+    rows = [(1, title, None), (2, longer, longer + " " + longer.replace("word", "more")), (3, None, None)]
+    spark.createDataFrame(rows, "item_id bigint, title string, description string").write.parquet(str(tmp_path / "catalog.parquet"))
+    got = {r.item_id: (r.title, r.description) for r in entry.queries()["clean_text"](spark, str(tmp_path)).collect()}
+    assert got[1] == ("A hex bolt of zinc plated steel, M8 x 40 mm, fully threaded, bag 100", "") and got[3] == ("", "")
+    assert got[2][0] == " ".join(words[:25]) and len(got[2][0]) == 199 and len(got[2][1]) == 500
+
+
 def test_prompts_and_sid_strings(spark):
     assert one(spark, X.metadata_prompt(F.col("t"), F.col("c"), F.col("d")), t="Saw", c="Unknown", d="") == "<seq> title: Saw"
     assert one(spark, X.metadata_prompt(F.col("t"), F.col("c"), F.col("d")), t="Saw", c="Tools", d="Cuts") == "<seq> title: Saw | category: Tools | description: Cuts"
