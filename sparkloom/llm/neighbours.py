@@ -8,7 +8,8 @@ the sets of cell borders with the smallest sums of squared distances come first,
 sequence prepared for the sorted distances.
 
 Cells of a coarse hash route the work: every vector is stored in its cell and asked in the
-cells it visits. There, several fine tables of the same kind give candidates, whose union
+cells it visits. Cells grow about threefold with each direction, and visits grow with them,
+so that the share of the cells that a query visits stays. There, several fine tables of the same kind give candidates, whose union
 is ranked by the exact cosine. Cells with many vectors or queries are divided into blocks
 of bounded size, and every block pair is a task of its own.
 """
@@ -27,8 +28,12 @@ from pyspark.sql import functions as F
 from sparkloom.llm.vectors import Vectors, first_members, matrix, moments, unit, usable
 from sparkloom.shared import materialize
 
-#: Width of a cell in standard deviations of the projections, and cells visited by a query: coarse and fine.
-COARSE_WIDTH, COARSE_PROBES, FINE_WIDTH, FINE_TABLES = 1.9, 20, 1.8, 10
+#: Width of a cell in standard deviations of the projections, coarse and fine, and the fine tables.
+COARSE_WIDTH, FINE_WIDTH, FINE_TABLES = 1.9, 1.8, 10
+#: Cells visited by a query besides its own with up to so many coarse directions, and the factor for each further one.
+COARSE_PROBES, PROBED_DIRECTIONS, PROBE_GROWTH = 20, 4, 3
+#: Rows that are sent to cells at a time.
+ROUTED = 2048 * (COARSE_PROBES + 1)
 #: Vectors and queries of a task.
 BLOCK, QUERY_BLOCK = 8192, 65_536
 #: Candidates beyond k that are ranked again in double.
@@ -181,48 +186,53 @@ def neighbours(rows: DataFrame, k: int = 5, id_col: str = "item_id", vec_col: st
     return neighbours_of(usable(rows, id_col, vec_col), k, seed)
 
 
+def coarse_router(mean: np.ndarray, root: np.ndarray, count: int, seed: int) -> tuple[Hash, list[tuple[int, ...]]]:
+    """The coarse hash for that many vectors, and the perturbations by which a query visits cells."""
+    router = Hash(mean, root, round(0.4 * np.log2(max(2, count)) - 2.2), COARSE_WIDTH, seed)
+    return router, probe_sets(router.m, COARSE_PROBES * PROBE_GROWTH ** max(0, router.m - PROBED_DIRECTIONS))
+
+
 def coarse_neighbours(v: Vectors, k: int, seed: int) -> DataFrame:
     """(q, c, cosine) for distinct vectors: up to k candidates from each block that q visits."""
     dim = v.dim
     mean, cov = moments(v.distinct, dim)
     values, axes = np.linalg.eigh(cov)
     root = axes * np.sqrt(np.maximum(values, 1e-12))
-    m = max(1, round(0.4 * np.log2(max(2, v.count)) - 2.2))
-    router = Hash(mean, root, m, COARSE_WIDTH, seed)
-    sets = probe_sets(router.m, COARSE_PROBES)
+    router, sets = coarse_router(mean, root, v.count, seed)
+    step = max(1, ROUTED // (len(sets) + 1))
     spark = v.distinct.sparkSession
 
     def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes = router.probes(unit(matrix(b.column("vec"), dim)).astype(np.float32), sets)
-            cell, n = np.unique(codes, return_counts=True)
-            own, n_own = np.unique(codes[:, 0], return_counts=True)
-            stored = np.zeros(len(cell), np.int64)
-            stored[np.searchsorted(cell, own)] = n_own
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(stored), pa.array(n)], ["cell", "stored", "asked"])
+            for lo in range(0, b.num_rows, step):
+                codes = router.probes(unit(matrix(b.column("vec").slice(lo, step), dim)).astype(np.float32), sets)
+                cell, n = np.unique(codes, return_counts=True)
+                own, n_own = np.unique(codes[:, 0], return_counts=True)
+                stored = np.zeros(len(cell), np.int64)
+                stored[np.searchsorted(cell, own)] = n_own
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(stored), pa.array(n)], ["cell", "stored", "asked"])
 
     sizes = v.distinct.select("vec").mapInArrow(cells_of, "cell bigint, stored bigint, asked bigint").groupBy("cell").agg(F.sum("stored").alias("stored"), F.sum("asked").alias("asked"))
-    # cells of more than a block: at most count / BLOCK + visits / QUERY_BLOCK of them
-    large = {r.cell: (-(-r.stored // BLOCK), -(-r.asked // QUERY_BLOCK)) for r in sizes.filter((F.col("stored") > BLOCK) | (F.col("asked") > QUERY_BLOCK)).collect()}
-    shared = spark.sparkContext.broadcast(large)
+    # blocks of the cells that hold vectors, of which there are a few for each of 3 ** m; visits to other cells find nothing and are not sent
+    held = {r.cell: (-(-r.stored // BLOCK), -(-r.asked // QUERY_BLOCK)) for r in sizes.filter("stored > 0").collect()}
+    shared = spark.sparkContext.broadcast(held)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        big = shared.value
-        keys = np.array(sorted(big), np.int64)
-        blocks = np.array([big[c] for c in keys.tolist()], np.int64).reshape(-1, 2)
+        known = shared.value
+        keys = np.array(sorted(known), np.int64)
+        blocks = np.array([known[c] for c in keys.tolist()], np.int64).reshape(-1, 2)
         for b in batches:
-            for lo in range(0, b.num_rows, 2048):
-                part = b.slice(lo, 2048)
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
                 ids = part.column("rep").to_numpy()
                 codes = router.probes(unit(matrix(part.column("vec"), dim)).astype(np.float32), sets)
                 row = np.r_[np.arange(len(ids)), np.repeat(np.arange(len(ids)), codes.shape[1])]
                 cell = np.r_[codes[:, 0], codes.ravel()]
                 asks = np.r_[np.zeros(len(ids), bool), np.ones(codes.size, bool)]
-                n = np.ones((len(cell), 2), np.int64)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, cell), len(keys) - 1)
-                    hit = keys[at] == cell
-                    n[hit] = blocks[at[hit]]
+                n = np.tile(np.array([0, 1]), (len(cell), 1))
+                at = np.minimum(np.searchsorted(keys, cell), len(keys) - 1)
+                hit = keys[at] == cell
+                n[hit] = blocks[at[hit]]
                 copies = np.where(asks, n[:, 0], n[:, 1])  # a query goes to all blocks of vectors, and the other way round
                 rep = np.repeat(np.arange(len(cell)), copies)
                 copy = np.arange(len(rep)) - np.repeat(np.cumsum(copies) - copies, copies)

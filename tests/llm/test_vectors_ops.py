@@ -1,10 +1,12 @@
 """Neighbours and clusters against brute force on planted vectors."""
 
 import numpy as np
+import pytest
 
 from sparkloom.llm.components import connected_components
 from sparkloom.llm.mixture import describe, similarity_clusters
-from sparkloom.llm.neighbours import neighbours, probe_sets
+from sparkloom.llm.neighbours import coarse_router, neighbours, probe_sets
+from sparkloom.llm.vectors import unit
 
 DDL = "item_id bigint, embedding array<float>, rep string, vec string"
 
@@ -62,6 +64,28 @@ def test_probe_sets_move_no_coordinate_both_ways():
     assert len(probe_sets(2, 99)) == 3**2 - 1
 
 
+@pytest.mark.parametrize(("count", "m"), [(90_000, 4), (200_000, 5), (1_000_000, 6), (6_000_000, 7)])
+def test_queries_visit_the_cells_of_their_neighbours(count, m):
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.1/embeddings_b2.parquet")["embedding"].to_pylist()
+    x = np.array([v for v in rows if v and len(v) == 64 and None not in v], np.float32)
+    x = unit(np.unique(x[np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)], axis=0))
+    values, axes = np.linalg.eigh(np.cov(x.T, bias=True))
+    q = np.random.default_rng(0).choice(len(x), 500, replace=False)
+    s = x[q] @ x.T
+    s[np.arange(len(q)), q] = -9
+    true = np.argsort(-s, axis=1)[:, :5]
+    seen = []
+    for seed in (7, 8, 9):
+        router, sets = coarse_router(x.mean(axis=0), axes * np.sqrt(np.maximum(values, 1e-12)), count, seed)
+        assert router.m == m
+        cell, _ = router.cells(x.astype(np.float32))
+        visited = router.probes(x[q].astype(np.float32), sets)
+        seen.append((cell[true][:, :, None] == visited[:, None, :]).any(axis=2).mean())
+    assert min(seen) > 0.92, seen
+
+
 def brute_clusters(x, least, size):
     s = cosines(x) >= least
     label = np.arange(len(x))
