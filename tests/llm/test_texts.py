@@ -127,6 +127,27 @@ CASES = [
 ]
 
 
+LATTICE_CASES = [
+    ("“快走！”他说，然后离开了。塔高15米。", ["“快走！”他说，然后离开了。", "塔高15米。"]),
+    ("“桥还在。”他走过街道。", ["“桥还在。”", "他走过街道。"]),
+    ("“桥还在。”这是一本小说。", ["“桥还在。”", "这是一本小说。"]),
+    ("“快走！”的喊声传来。他跑了。", ["“快走！”的喊声传来。", "他跑了。"]),
+    ("“桥还在。”母亲告诉我。他哭了。", ["“桥还在。”母亲告诉我。", "他哭了。"]),
+    ("「橋は残った。」彼は言った。次の文。", ["「橋は残った。」彼は言った。", "次の文。"]),
+    ("「橋は残った。」はじめに町が焼けた。", ["「橋は残った。」", "はじめに町が焼けた。"]),
+    ("「橋は残った。」ところが屋根は落ちた。", ["「橋は残った。」", "ところが屋根は落ちた。"]),
+    ("「橋は残った。」町は焼けた。", ["「橋は残った。」", "町は焼けた。"]),
+    ("モーニング娘。のメンバーは歌った。次の文。", ["モーニング娘。のメンバーは歌った。", "次の文。"]),
+    ("橋は残った。が、屋根は落ちた。", ["橋は残った。", "が、屋根は落ちた。"]),
+    ("橋は残った。のちに町が焼けた。", ["橋は残った。", "のちに町が焼けた。"]),
+]
+
+
+@pytest.mark.parametrize(("line", "want"), LATTICE_CASES)
+def test_gaps_of_scripts_without_spaces(line, want):
+    assert [line[a:b] for a, b in split_line(line)] == want
+
+
 @pytest.mark.parametrize(("line", "want"), CASES)
 def test_sentence_cases(line, want):
     assert [line[a:b] for a, b in split_line(line)] == want
