@@ -187,10 +187,11 @@ def stars(ids: np.ndarray, raw: np.ndarray, least_cosine: float) -> tuple[np.nda
 
 @dataclass
 class Clusters:
-    """labels: (item_id, first_item_id) of all members; scored: (rep, density)."""
+    """labels: (item_id, first_item_id) of all members; scored: (rep, density); components of the mixture."""
 
     labels: DataFrame
     scored: DataFrame
+    n_components: int = 0
 
 
 def similarity_clusters(rows: DataFrame, least_cosine: float = 0.85, least_size: int = 4, id_col: str = "item_id", vec_col: str = "embedding", seed: int = 11) -> Clusters:
@@ -247,7 +248,7 @@ def similarity_clusters(rows: DataFrame, least_cosine: float = 0.85, least_size:
     kept = items.groupBy("label").agg(F.count("*").alias("n"), F.min("item_id").alias("first_item_id")).filter(F.col("n") >= least_size)
     scored = assigned.groupBy("rep").agg(F.max("density").alias("density"))
     by_item = v.members.join(scored, "rep").select("item_id", "density")
-    return Clusters(items.join(kept, "label").select("item_id", "first_item_id", "n"), by_item)
+    return Clusters(items.join(kept, "label").select("item_id", "first_item_id", "n"), by_item, len(mixture.log_w))
 
 
 def describe(clusters: Clusters, typical: int = 3) -> DataFrame:

@@ -108,6 +108,20 @@ def test_clusters_match_brute_force(spark):
         assert r.n_items == len(members) and set(r.typical_item_ids) <= members and len(r.typical_item_ids) == 3
 
 
+def test_weak_links_across_several_components(spark):
+    rng = np.random.default_rng(5)
+    base = unit(0.5 * rng.normal(size=(12, 64))[rng.integers(12, size=3600)] + rng.normal(size=(3600, 64)))
+    p = base[:1000]
+    o = rng.normal(size=p.shape)
+    o = unit(o - (o * p).sum(axis=1, keepdims=True) * p)
+    t = rng.uniform(0.851, 0.889, (len(p), 1))
+    x = np.concatenate([base, t * p + np.sqrt(1 - t * t) * o]).astype(np.float32)
+    c = similarity_clusters(frame(spark, x, dirty=False), least_size=2)
+    assert c.n_components > 1
+    got = {(r.first_item_id, r.item_id) for r in c.labels.collect()}
+    assert got == brute_clusters(x, 0.85, 2) and len(got) >= 2000
+
+
 def test_clusters_of_an_empty_table(spark):
     c = similarity_clusters(frame(spark, planted()).limit(0))
     assert c.labels.collect() == []
