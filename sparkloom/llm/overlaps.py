@@ -3,7 +3,8 @@
 Records are made canonical and hashed; hashes of evaluation rows meet equal hashes of
 training rows in a join. A title gives one hash of all its words and one for each word
 left out, so that titles that differ in a single word meet too; that word must be a
-misspelling, not another number, unit or colour.
+misspelling, not another number, unit or colour. Titles of one or two words, which too many
+would share with a word left out, give a hash for each letter left out instead.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from sparkloom.shared import materialize
 
 #: Letters from which on a word may be taken for a misspelling of another.
 LEAST_LETTERS = 4
+#: Words up to which a title is hashed with letters, not words, left out.
+SHORT_TITLE = 2
 
 
 def signatures(rows: DataFrame, id_col: str, title_col: str, key_col: str, split_col: str, train: str) -> DataFrame:
@@ -43,8 +46,10 @@ def signatures(rows: DataFrame, id_col: str, title_col: str, key_col: str, split
                 if words:
                     add(i, t, "t\x1f" + "".join(words), None)
                 for k, w in enumerate(words):
-                    if len(w) >= LEAST_LETTERS and w.isalpha() and not protected(w) and len(words) > 2:
-                        add(i, t, "w\x1f" + "\x1f".join([*words[:k], "", *words[k + 1 :]]), w)
+                    if len(w) >= LEAST_LETTERS and w.isalpha() and not protected(w):
+                        short = len(words) <= SHORT_TITLE
+                        for part in {w, *(w[:j] + w[j + 1 :] for j in range(len(w)))} if short else ("",):
+                            add(i, t, (f"s{k}\x1f" if short else "w\x1f") + "\x1f".join([*words[:k], part, *words[k + 1 :]]), w)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.string())], ["id", "train", "hash", "word"])
 
     slim = rows.select(
@@ -61,7 +66,8 @@ def cross_split_pairs(
     Rows repeat each other if their keys are equal apart from case and outer white space, or
     their titles apart from case, accents, white space, punctuation, markup, repeated words,
     sales phrases, or one word that is one letter dropped, added, changed or swapped with its
-    neighbour. Null and empty titles and keys, and titles of sales phrases only, match nothing;
+    neighbour; words of fewer than LEAST_LETTERS letters are never taken for misspelt, as one
+    letter makes them another word. Null and empty titles and keys, and titles of sales phrases only, match nothing;
     rows without a split or id are left out. Repeated rows give repeated pairs once. An
     empty table gives no rows.
     """

@@ -180,6 +180,16 @@ def test_overlaps(spark):
     assert cross_split_pairs(df.limit(0)).collect() == []
 
 
+def test_overlaps_of_short_titles(spark):
+    rows = [
+        (1, "Storage Basket", "train"), (2, "Storage Baskte - Top Quality", "val"), (3, "Storge Basket", "test"), (4, "Storrage Basket", "val"), (5, "Storge Baskte", "val"), (6, "Basket Storage", "val"),
+        (7, "Sulaboda", "train"), (8, "Sulabodda", "val"), (9, "sulabdoa", "test"), (10, "Sulabada", "val"), (11, "Sulubada", "val"), (12, "Red Mug", "train"), (13, "Red Rug", "val"), (14, "Reds Mug", "val"),
+        (15, "Mug 12", "train"), (16, "Mug 13", "val"), (17, "Kadoco", "val"),
+    ]
+    df = spark.createDataFrame([(i, t, f"K{i}", s, "C", "h", "t") for i, t, s in rows], CATALOG)
+    assert {(r.eval_id, r.train_id) for r in cross_split_pairs(df).collect()} == {(2, 1), (3, 1), (4, 1), (8, 7), (9, 7), (10, 7)}
+
+
 ITEMS = "parent_asin string, title string, store string, features string, categories array<string>, class string, brand string"
 
 
