@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def warmup_cosine(step: Column, warmup: int, total: int) -> Column:
-    """Linear to 1 over the warm-up, then half a cosine to 0."""
+    """Linear over the warm-up, whose last step reaches 1, then half a cosine to 0."""
     progress = (step - warmup) / max(1, total - warmup)
-    return F.when(step < warmup, step / max(1, warmup)).otherwise(F.greatest(F.lit(0.0), 0.5 * (1 + F.cos(F.lit(math.pi) * F.least(F.lit(1.0), progress)))))
+    return F.when(step < warmup, (step + 1) / max(1, warmup)).otherwise(F.greatest(F.lit(0.0), 0.5 * (1 + F.cos(F.lit(math.pi) * F.least(F.lit(1.0), progress)))))
 
 
 def one_cycle(step: Column, total: int, peak: float, pct_start: float = 0.3, div: float = 8.0, final_div: float = 100.0) -> Column:
@@ -22,9 +22,19 @@ def one_cycle(step: Column, total: int, peak: float, pct_start: float = 0.3, div
     return F.when(step <= up, anneal(peak / div, peak, step / up)).otherwise(anneal(peak, peak / div / final_div, (step - up) / down))
 
 
-def optimiser_steps(micro_batches: int, accumulate: int, epochs: int, spare_per_epoch: int = 0) -> int:
-    """Steps of all epochs; each has one at least."""
-    return (max(1, micro_batches // accumulate) + spare_per_epoch) * epochs
+def optimiser_steps(micro_batches: int, accumulate: int, epochs: int, spare_per_epoch: int = 0, max_steps: int = 0) -> int:
+    """Steps of all epochs; each has one at least. A positive max_steps is the number itself."""
+    if max_steps > 0:
+        return max_steps
+    return (max(1, max(1, micro_batches) // max(1, accumulate)) + spare_per_epoch) * epochs
+
+
+def step_counts(settings: DataFrame) -> DataFrame:
+    """Adds total_steps to rows (n_rows, batch_size, accumulate, epochs, max_steps), as optimiser_steps counts them."""
+    one = F.lit(1)
+    micro = F.greatest(one, F.ceil(F.col("n_rows") / F.col("batch_size")))
+    each = F.greatest(one, F.floor(micro / F.greatest(one, F.col("accumulate"))))
+    return settings.withColumn("total_steps", F.when(F.col("max_steps") > 0, F.col("max_steps")).otherwise(each * F.col("epochs")).cast("bigint"))
 
 
 def anchored_adamw(

@@ -80,7 +80,7 @@ QUERIES = {
     for f in (clean_text, strip_markup, clean_documents, metadata_prompts, sid_strings, shard_paths, first_elements, prompt_periods, label_masks, token_vocabulary)
 }
 SQL = {
-    "clean_text": f"SELECT item_id, {clean_sql('title', 40)} AS title, {clean_sql('description', 500)} AS description FROM catalog",
+    "clean_text": f"SELECT item_id, {clean_sql('title', 200)} AS title, {clean_sql('description', 500)} AS description FROM catalog",
     "strip_markup": f"SELECT item_id, trim(regexp_replace(regexp_replace(coalesce(title, ''), '<[^>]+>', ' ', 'g'), '{SPACE}', ' ', 'g')) AS title FROM catalog",
     "metadata_prompts": f"""
 SELECT item_id, '<seq> ' || concat_ws(' | ', 'title: ' || t, CASE WHEN coalesce(sub_category, '') <> '' AND lower(sub_category) <> 'unknown' THEN 'category: ' || sub_category END,

@@ -29,7 +29,7 @@ def one(spark, column, **values):
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("<p>Hello <b>world</b></p>", "Hello world"), ("foo   \n\t bar", "foo bar"), ("drill drill cordless Drill cordless", "drill cordless"), ("", ""),
+        ("<li>Oak <i>shelf</i> 40 cm</li>", "Oak shelf 40 cm"), ("oak \r\n\t  shelf ", "oak shelf"), ("Lamp red lamp LAMP small red", "Lamp red small"), ("", ""),
         (None, ""), ("a  b", "a b"), ("A b a B c", "A b c"),
     ],
 )
@@ -59,7 +59,7 @@ def test_clean_text_query_keeps_titles_to_200(spark, tmp_path):
 def test_prompts_and_sid_strings(spark):
     assert one(spark, X.metadata_prompt(F.col("t"), F.col("c"), F.col("d")), t="Saw", c="Unknown", d="") == "<seq> title: Saw"
     assert one(spark, X.metadata_prompt(F.col("t"), F.col("c"), F.col("d")), t="Saw", c="Tools", d="Cuts") == "<seq> title: Saw | category: Tools | description: Cuts"
-    assert one(spark, X.sid_target([F.lit(30), F.lit(156), F.lit(615), F.lit(632)])) == "<sid_30><sid_156><sid_615><sid_632><sid_eos>"
+    assert one(spark, X.sid_target([F.lit(0), F.lit(17), F.lit(1023), F.lit(9)])) == "<sid_0><sid_17><sid_1023><sid_9><sid_eos>"
     assert one(spark, X.parse_sids(F.lit("<seq> <sid_1><sid_2><sid_3>"))) is None
     assert one(spark, X.parse_sids(F.lit("<sid_1><sid_2><sid_3><sid_4><sid_5>"))) == [1, 2, 3, 4]
     assert one(spark, X.shard_path("i", F.lit(12345))) == "i/012/12345.jpg"
@@ -226,6 +226,14 @@ def test_anchored_step_shrinks_to_the_start(spark):
     assert L.optimiser_steps(3, 4, 2) == 2 and L.parse_ks("10,50,10") == [10, 50]
 
 
+def test_schedules_at_literal_steps(spark):
+    """Step 0 of 100 warm-up steps is 1/100, step 99 is 1; half of the way down is 1/2."""
+    at = lambda s, w=100: spark.range(1).select(L.warmup_cosine(F.lit(s), w, 1000).alias("x")).first().x
+    assert [round(at(s), 9) for s in (0, 1, 99, 100, 550, 1000, 2000)] == [0.01, 0.02, 1.0, 1.0, 0.5, 0.0, 0.0]
+    assert at(0, 0) == 1.0
+    assert L.optimiser_steps(100, 4, 2, max_steps=7) == 7 and L.optimiser_steps(0, 4, 3) == 3
+
+
 def test_boxes(spark):
     d = spark.createDataFrame([(1, 0.5, 0.0, 0.0, 9.0, 9.0), (1, 0.9, 5.0, 5.0, 55.0, 55.0), (2, 0.1, -50.0, -50.0, 500.0, 500.0)], "image_id int, score double, x0 double, y0 double, x1 double, y1 double")
     best = D.best_box(d).withColumns({"width": F.lit(200), "height": F.lit(200)})
