@@ -1,23 +1,28 @@
 """The k most similar vectors of every vector by multiprobe p-stable hashing.
 
-A hash is the cell of a random projection: floor((a x + b) / w) for each of m directions
-a. Directions are drawn from the normal distribution with the data's covariance, so that
-they tell near from far by the directions in which vectors differ. A query visits its own
-cell and then perturbed ones, in the order of the chance that a near vector lies there:
-the sets of cell borders with the smallest sums of squared distances come first, from a
-sequence prepared for the sorted distances.
-
-Cells of a coarse hash route the work: every vector is stored in its cell and asked in the
-cells it visits. Cells grow about threefold with each direction, and visits grow with them,
-so that the share of the cells that a query visits stays. There, several fine tables of the same kind give candidates, whose union
-is ranked by the exact cosine. Cells with many vectors or queries are divided into blocks
-of bounded size, and every block pair is a task of its own.
+A hash is the cell of a random projection, floor((a x + b) / w). Directions a are drawn
+from the normal distribution with the data's covariance; widths w follow the spread of what
+is hashed, and a cell that is still crowded is hashed again by its widest direction, so
+that a table's cells are boxes in the space of the projections and hold about as many
+vectors each. Every vector is stored in its cell in each of several tables.
+
+A query visits cells in the order of their estimated success: a vector at distance r lies,
+in a few orthonormal directions, at a small share of r squared, so the nearer the border of
+a cell the likelier it holds one. What share suffices is measured when a table is made, on
+a bounded sample whose neighbours are known. The best similarity found so far gives r, so
+queries with near neighbours stop early and only lonely ones look far. Candidates of all
+tables are merged and ranked by the exact cosine. With exact=True a query visits every cell
+that the distance to its border does not exclude, and nothing is lost.
+
+Vectors are written once for each table, sorted by cell, in blocks of bounded size; the
+task of a block of queries reads the blocks that they visit (blocks.py), so no vector is
+shuffled to its queries.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,247 +30,330 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.vectors import Vectors, first_members, matrix, moments, unit, usable
+from sparkloom.llm.blocks import BLOCK, Blocks, Reader, write_blocks
+from sparkloom.llm.vectors import Vectors, first_members, matrix, sample, unit, usable
 from sparkloom.shared import materialize
 
-#: Width of a cell in standard deviations of the projections, coarse and fine, and the fine tables.
-COARSE_WIDTH, FINE_WIDTH, FINE_TABLES = 1.9, 1.8, 10
-#: Cells visited by a query besides its own with up to so many coarse directions, and the factor for each further one.
-COARSE_PROBES, PROBED_DIRECTIONS, PROBE_GROWTH = 20, 4, 3
-#: Rows that are sent to cells at a time.
-ROUTED = 2048 * (COARSE_PROBES + 1)
-#: Vectors and queries of a task.
-BLOCK, QUERY_BLOCK = 8192, 65_536
-#: Candidates beyond k that are ranked again in double.
-SPARE = 4
+#: Tables, directions of a table, and width of a cell in standard deviations of what is hashed.
+TABLES, DIRECTIONS, WIDTH = 2, 16, 1.9
+#: Vectors of a cell at most where the sample can tell, rows of the sample that tables are fitted to, and its rows in a cell at least.
+CELL, FIT_ROWS, LEAST_FIT = 600, 32_768, 8
+#: Share of true neighbours that the cells visited in all tables shall hold, and the sample's queries that measure it.
+RECALL, MEASURED = 0.98, 512
+#: Queries of a task, and numbers held for the cells of a batch of queries.
+QUERIES, SCORES = 8192, 1 << 23
+#: The first cells that are visited at a time; each further round takes so many times more.
+FIRST_VISITS, MORE_VISITS = 1, 6
 
 
-def probe_sets(m: int, most: int) -> list[tuple[int, ...]]:
-    """The first perturbation sets, as places in the sorted list of the 2m border distances.
+class Table:
+    """One table: its directions, and a tree of hashes whose leaves are cells, each a box in the projections' space."""
 
-    The expected squared distances of the sorted borders order the sets; a set never moves
-    one coordinate both ways.
-    """
-    j = np.arange(1, 2 * m + 1)
-    z = np.where(j <= m, j * (j + 1) / (4 * (m + 1) * (m + 2)), 1 - (2 * m + 1 - j) / (m + 1) + (2 * m + 1 - j) * (2 * m + 2 - j) / (4 * (m + 1) * (m + 2)))
-    out: list[tuple[int, ...]] = []
-    heap = [(z[0], (1,))]
-    while heap and len(out) < most:
-        score, a = heapq.heappop(heap)
-        last = a[-1]
-        if last < 2 * m:
-            heapq.heappush(heap, (score - z[last - 1] + z[last], (*a[:-1], last + 1)))
-            heapq.heappush(heap, (score + z[last], (*a, last + 1)))
-        if not any(2 * m + 1 - i in a for i in a):
-            out.append(a)
-    return out
-
-
-class Hash:
-    """One table: m directions, offsets and a mixing multiplier for each."""
-
-    def __init__(self, mean: np.ndarray, root: np.ndarray, m: int, width: float, seed: int) -> None:
+    def __init__(self, x: np.ndarray, total: int, k: int, seed: int, recall: float) -> None:
+        """x: unit vectors of the sample; total: vectors that the table will hold; k: neighbours that are sought."""
         rng = np.random.default_rng(seed)
-        dim = len(mean)
-        self.m = m = max(1, min(m, dim))
-        a, _ = np.linalg.qr(root @ rng.standard_normal((dim, m)))
-        spread = np.sqrt(((root.T @ a) ** 2).sum(axis=0)).mean()
-        self.a = (a / max(width * spread, 1e-9)).astype(np.float32)
-        self.b = (rng.uniform(0, 1, m) - mean @ self.a).astype(np.float32)
-        self.mix = rng.integers(-(2**62), 2**62, m)
-
-    def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Code of each row's cell, and the place within the cell."""
-        p = x @ self.a + self.b
-        h = np.floor(p)
-        with np.errstate(over="ignore"):
-            return (h.astype(np.int64) * self.mix).sum(axis=1), p - h
-
-    def probes(self, x: np.ndarray, sets: list[tuple[int, ...]]) -> np.ndarray:
-        """Codes of the visited cells: the own one, then the perturbed ones in their order."""
-        code, at = self.cells(x)
-        border = np.argsort(np.concatenate([at, 1 - at], axis=1), axis=1)
-        step = np.concatenate([-self.mix, self.mix])[border]
-        out = np.empty((len(x), len(sets) + 1), np.int64)
-        out[:, 0] = code
-        with np.errstate(over="ignore"):
-            for k, s in enumerate(sets):
-                out[:, k + 1] = code + step[:, [i - 1 for i in s]].sum(axis=1)
+        dim = x.shape[1]
+        values, axes = np.linalg.eigh(np.cov(x.T, bias=True).reshape(dim, dim))
+        root = axes * np.sqrt(np.maximum(values, 1e-12))
+        self.a = np.linalg.qr(root @ rng.standard_normal((dim, min(DIRECTIONS, dim))))[0].astype(np.float32)
+        self.nodes: list[tuple[int, np.ndarray, list[int]]] = []  # direction, borders, children; a cell is a child -1 - cell
+        boxes: list[tuple[np.ndarray, np.ndarray]] = []
+        p = x.astype(np.float32) @ self.a
+        most = max(CELL * len(x) / max(total, 1), LEAST_FIT)
+
+        def grow(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> int:
+            part = p[rows]
+            spread = part.std(axis=0) if len(rows) else np.zeros(p.shape[1])
+            j = int(spread.argmax())
+            if len(rows) <= most or spread[j] < 1e-6:
+                boxes.append((lo, hi))
+                return -len(boxes)
+            w, mid = WIDTH * spread[j], part[:, j].mean()
+            h = np.floor((part[:, j] - mid) / w + rng.uniform())
+            b = np.unique(h)
+            if len(b) > 1:
+                borders = np.array([(part[h < v, j].max() + part[h >= v, j].min()) / 2 for v in b[1:]], np.float32)
+            else:
+                borders = np.array([mid], np.float32)
+            side = np.searchsorted(borders, part[:, j], side="right")
+            at = len(self.nodes)
+            self.nodes.append((j, borders, []))
+            edges = [-np.inf, *borders.tolist(), np.inf]
+            for s in range(len(edges) - 1):
+                low, high = lo.copy(), hi.copy()
+                low[j], high[j] = max(lo[j], edges[s]), min(hi[j], edges[s + 1])
+                self.nodes[at][2].append(grow(rows[side == s], low, high))
+            return at
+
+        free = np.full(p.shape[1], np.inf, np.float32)
+        self.root = grow(np.arange(len(x)), -free, free)
+        self.lo, self.hi = (np.array(b, np.float32) for b in zip(*boxes))
+        self.bounded = np.maximum((np.isfinite(self.lo) | np.isfinite(self.hi)).sum(axis=1), 1).astype(np.float32)
+        self.share = self._measure(x, k, recall, rng)
+
+    def __len__(self) -> int:
+        return len(self.lo)
+
+    def _measure(self, x: np.ndarray, k: int, recall: float, rng: np.random.Generator) -> float:
+        """The share of r squared, for each direction of a cell, within which that share of the sample's neighbours lies."""
+        if len(x) < 2:
+            return 1.0
+        q = rng.choice(len(x), min(MEASURED, len(x)), replace=False)
+        x = x.astype(np.float32)
+        s = x[q] @ x.T
+        s[np.arange(len(q)), q] = -9
+        k = min(k, len(x) - 1)
+        near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        r2 = 2 - 2 * np.take_along_axis(s, near, 1).min(axis=1)
+        cell = self.cells(x[near.ravel()]).reshape(near.shape)
+        far = self.borders(x[q]) / self.bounded
+        need = np.take_along_axis(far, cell, 1) / np.maximum(r2, 1e-9)[:, None]
+        return float(np.quantile(need, recall))
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each unit vector."""
+        p = x @ self.a
+        out = np.zeros(len(x), np.int64)
+        todo = [(self.root, np.arange(len(x)))]
+        while todo:
+            node, rows = todo.pop()
+            if node < 0:
+                out[rows] = -1 - node
+                continue
+            j, borders, children = self.nodes[node]
+            side = np.searchsorted(borders, p[rows, j], side="right")
+            for s, child in enumerate(children):
+                own = rows[side == s]
+                if len(own):
+                    todo.append((child, own))
+        return out
+
+    def borders(self, x: np.ndarray) -> np.ndarray:
+        """The squared distance of each unit vector to each cell's box."""
+        p = x @ self.a
+        out = np.zeros((len(x), len(self)), np.float32)
+        used = [(j, np.ascontiguousarray(self.lo[:, j]), np.ascontiguousarray(self.hi[:, j])) for j in range(p.shape[1]) if np.isfinite(self.lo[:, j]).any() or np.isfinite(self.hi[:, j]).any()]
+        step = max(1, (1 << 16) // len(self))  # what is worked on stays in the processor's cache
+        gap, other = np.empty((2, step, len(self)), np.float32)
+        for at in range(0, len(x), step):
+            q, o = p[at : at + step], out[at : at + step]
+            g, h = gap[: len(q)], other[: len(q)]
+            for j, lo, hi in used:
+                np.subtract(lo, q[:, j, None], out=g)
+                np.subtract(q[:, j, None], hi, out=h)
+                np.maximum(g, h, out=g)
+                np.maximum(g, 0, out=g)
+                np.multiply(g, g, out=g)
+                np.add(o, g, out=o)
         return out
 
 
-def _merge(query: np.ndarray, cand: np.ndarray, score: np.ndarray, keep: int, n: int) -> tuple[np.ndarray, ...]:
-    """The best keep candidates of each query, each once, and the least score that still counts."""
+@dataclass
+class Stored:
+    """A table with its blocks: the first block of each cell and how many it has (0: the cell is empty)."""
+
+    table: Table
+    blocks: Blocks
+    first: np.ndarray
+    count: np.ndarray
+
+
+def store(v: Vectors, table: Table) -> Stored:
+    """Writes all vectors by their cells. Cells follow each other in blocks; a crowded cell has several of its own."""
+    dim = v.dim
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(table), np.int64)
+        for b in batches:
+            n += np.bincount(table.cells(unit(matrix(b.column("vec"), dim)).astype(np.float32)), minlength=len(table))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
+
+    n = np.zeros(len(table), np.int64)
+    for r in v.distinct.select("vec").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # a row for each cell, of which the sample allows FIT_ROWS / LEAST_FIT
+        n[r.cell] = r.n
+    first, blocks = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    most = block_rows(v.count)
+    at, room = -1, 0
+    for c, m in enumerate(n.tolist()):
+        if not m:
+            continue
+        if m > most:
+            first[c], blocks[c] = at + 1, -(-m // most)
+            at, room = at + int(blocks[c]), 0
+            continue
+        if m > room:
+            at, room = at + 1, most
+        first[c], blocks[c] = at, 1
+        room -= m
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = table.cells(unit(matrix(b.column("vec"), dim)).astype(np.float32)) if b.num_rows else np.zeros(0, np.int64)
+            with np.errstate(over="ignore"):
+                mixed = (b.column("rep").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+            block = first[cell] + (mixed % np.maximum(blocks[cell], 1).astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(cell.astype(np.int32)), b.column("rep"), b.column("vec")], ["block", "cell", "rep", "vec"])
+
+    placed = v.distinct.select("rep", "vec").mapInArrow(place, "block bigint, cell int, rep bigint, vec binary")
+    return Stored(table, write_blocks(placed, at + 1, dim), first, blocks)
+
+
+def block_rows(count: int) -> int:
+    """Vectors of a block: some dozens of blocks for little data, blocks of a fixed size for much."""
+    return min(BLOCK, max(2048, count // 24))
+
+
+def _merge(query: np.ndarray, cand: np.ndarray, cosine: np.ndarray, k: int, n: int) -> tuple[np.ndarray, ...]:
+    """The best k candidates of each query, each once, ties to the smaller id, and the least cosine that still counts."""
     order = np.lexsort((cand, query))
-    query, cand, score = query[order], cand[order], score[order]
+    query, cand, cosine = query[order], cand[order], cosine[order]
     new = np.r_[True, (np.diff(query) != 0) | (np.diff(cand) != 0)] if len(query) else np.zeros(0, bool)
-    query, cand, score = query[new], cand[new], score[new]
-    order = np.lexsort((-score, query))
-    query, cand, score = query[order], cand[order], score[order]
+    query, cand, cosine = query[new], cand[new], cosine[new]
+    order = np.lexsort((cand, -cosine, query))
+    query, cand, cosine = query[order], cand[order], cosine[order]
     counts = np.bincount(query, minlength=n)
     place = np.arange(len(query)) - np.repeat(np.cumsum(counts) - counts, counts)
-    ok = place < keep
-    least = np.full(n, -2.0, np.float32)
-    full = place == keep - 1
-    least[query[full]] = score[full]
-    return query[ok], cand[ok], score[ok], least
-
-
-def search_block(data_id: np.ndarray, data: np.ndarray, query_id: np.ndarray, query: np.ndarray, k: int, hashes: list[Hash], probes: int) -> tuple[np.ndarray, ...]:
-    """(query, candidate, cosine) of the k best candidates of each query within one block.
-
-    data and query are raw vectors. Candidates come from the fine tables only; cosines are
-    in double, rounded to 9 decimals; ties go to the smaller id; a vector is never its own.
-    """
-    d64, q64 = unit(data), unit(query)
-    d, q = d64.astype(np.float32), q64.astype(np.float32)
-    keep = k + SPARE
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    n_held = 0
-    least = np.full(len(q), -2.0, np.float32)
-    for h in hashes:
-        code, _ = h.cells(d)
-        order = np.argsort(code, kind="stable")
-        cells, first = np.unique(code[order], return_index=True)
-        stop = np.r_[first[1:], len(code)]
-        visited = h.probes(q, probe_sets(h.m, probes))
-        at = np.searchsorted(cells, visited)
-        at[at == len(cells)] = 0
-        there = cells[at] == visited
-        who = np.broadcast_to(np.arange(len(q), dtype=np.int32)[:, None], visited.shape)[there]
-        at = at[there].astype(np.int32)
-        by_cell = np.argsort(at, kind="stable")
-        who = who[by_cell]
-        bounds = np.searchsorted(at[by_cell], np.arange(len(cells) + 1))
-        for c in range(len(cells)):
-            w = who[bounds[c] : bounds[c + 1]]
-            rows = order[first[c] : stop[c]]
-            for lo in range(0, len(w), 4096):
-                ww = w[lo : lo + 4096]
-                for ro in range(0, len(rows), 1024):
-                    rr = rows[ro : ro + 1024]
-                    s = q[ww] @ d[rr].T
-                    over = s > least[ww][:, None]
-                    if s.shape[1] > 2 * keep and np.count_nonzero(over) > keep * len(ww):
-                        best = np.argpartition(s, s.shape[1] - keep, axis=1)[:, -keep:]
-                        i, j = np.repeat(np.arange(len(ww)), keep), best.ravel()
-                        ok = over[i, j]
-                        i, j = i[ok], j[ok]
-                    else:
-                        i, j = np.nonzero(over)
-                    if len(i):
-                        held.append((ww[i], rr[j].astype(np.int32), s[i, j]))
-                        n_held += len(i)
-                    if n_held > 1 << 20:
-                        merged = _merge(*(np.concatenate(x) for x in zip(*held)), keep, len(q))
-                        held, least = [merged[:3]], merged[3]
-                        n_held = len(merged[0]) // 4  # what is kept fills the next round only in part
-    if not held:
-        none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0)
-    who, cand, _, _ = _merge(*(np.concatenate(x) for x in zip(*held)), keep, len(q))
-    other = query_id[who] != data_id[cand]
-    who, cand = who[other], cand[other]
-    cosine = np.round(np.einsum("ij,ij->i", q64[who], d64[cand]), 9)
-    order = np.lexsort((data_id[cand], -cosine, who))
-    who, cand, cosine = who[order], cand[order], cosine[order]
-    counts = np.bincount(who, minlength=len(q))
-    ok = np.arange(len(who)) - np.repeat(np.cumsum(counts) - counts, counts) < k
-    return query_id[who[ok]], data_id[cand[ok]], cosine[ok]
-
-
-def neighbours(rows: DataFrame, k: int = 5, id_col: str = "item_id", vec_col: str = "embedding", seed: int = 7) -> DataFrame:
+    least = np.full(n, -2.0)
+    full = place == k - 1
+    least[query[full]] = cosine[full]
+    ok = place < k
+    return query[ok], cand[ok], cosine[ok], least
+
+
+class Search:
+    """The candidates of a batch of queries, and their visits to the tables."""
+
+    def __init__(self, ids: np.ndarray, raw: np.ndarray, k: int) -> None:
+        self.ids, self.k = ids, k
+        self.wide = unit(raw)
+        self.near = self.wide.astype(np.float32)
+        self.least = np.full(len(ids), -2.0)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.fresh = 0
+        self.visits = 0
+
+    def take(self, who: np.ndarray, rep: np.ndarray, raw: np.ndarray, near: np.ndarray) -> None:
+        """Compares some queries with some vectors; those that may be among the k best are scored exactly."""
+        for lo in range(0, len(rep), 4096):
+            part = slice(lo, lo + 4096)
+            for qo in range(0, len(who), 4096):
+                w = who[qo : qo + 4096]
+                s = self.near[w] @ near[part].T
+                self.visits += s.size
+                least = self.least[w]
+                if s.shape[1] > self.k + 1 and (least < -1).any():  # nothing found yet: the block's own best will do
+                    edge = np.partition(s, s.shape[1] - self.k - 1, axis=1)[:, s.shape[1] - self.k - 1]
+                    least = np.maximum(least, edge)
+                hit = np.flatnonzero((s >= (least - 1e-6).astype(np.float32)[:, None]).ravel())
+                i, j = w[hit // s.shape[1]], lo + hit % s.shape[1]
+                other = self.ids[i] != rep[j]
+                i, j = i[other], j[other]
+                if len(i):
+                    cosine = np.round(np.einsum("ij,ij->i", self.wide[i], unit(raw[j])), 9)
+                    self.held.append((i, rep[j], cosine))
+                    self.fresh += len(i)
+                if self.fresh > 1 << 19:
+                    self.merge()
+
+    def merge(self) -> None:
+        if self.fresh:
+            *best, self.least = _merge(*(np.concatenate(x) for x in zip(*self.held)), self.k, len(self.ids))
+            self.held, self.fresh = [tuple(best)], 0
+
+    def visit(self, stored: Stored, reader: Reader, exact: bool) -> None:
+        """Visits the table's cells round by round, the likeliest first, as long as they may hold something better."""
+        table = stored.table
+        far = table.borders(self.near)
+        if not exact:
+            far /= table.bounded * max(table.share, 1e-9)
+        far[:, stored.count == 0] = np.inf
+        done, width = 0, FIRST_VISITS
+        active = np.arange(len(self.ids))
+        while len(active) and done < len(table):
+            until = min(len(table), done + width)
+            last = until == len(table)
+            part = far[active]
+            order = np.argsort(part, axis=1)[:, :until] if last else np.argpartition(part, until - 1, axis=1)[:, :until]
+            reach = (2 - 2 * self.least[active]).astype(np.float32) + np.float32(1e-5)
+            d = np.take_along_axis(part, order, 1)
+            r, c = np.nonzero((d <= reach[:, None]) & np.isfinite(d))
+            cell = order[r, c]
+            far[active[r], cell] = np.inf  # visited
+            self._round(stored, reader, active[r], cell)
+            self.merge()
+            # a query goes on if a cell is left within its reach
+            active = active[far[active].min(axis=1) <= (2 - 2 * self.least[active]) + 1e-5] if not last else active[:0]
+            done, width = 0, width * MORE_VISITS  # visited cells are out of the order, so it begins anew
+
+    def _round(self, stored: Stored, reader: Reader, who: np.ndarray, cell: np.ndarray) -> None:
+        order = np.argsort(cell, kind="stable")
+        who, cell = who[order], cell[order]
+        cells, at = np.unique(cell, return_index=True)
+        for c, lo, hi in zip(cells.tolist(), at.tolist(), [*at[1:].tolist(), len(cell)]):
+            for b in range(int(stored.first[c]), int(stored.first[c] + stored.count[c])):
+                if b in reader.blocks.files:
+                    block = reader.get(b)
+                    start, stop = np.searchsorted(block.cell, [c, c + 1])
+                    if stop > start:
+                        self.take(who[lo:hi], block.rep[start:stop], block.raw[start:stop], block.near[start:stop])
+
+
+def fit_tables(x: np.ndarray, total: int, k: int, seed: int, tables: int = TABLES, recall: float = RECALL) -> list[Table]:
+    """Tables that miss a neighbour independently and so miss it together with the wanted chance."""
+    return [Table(x, total, k, seed + i, 1 - (1 - recall) ** (1 / tables)) for i in range(tables)]
+
+
+def nearest(v: Vectors, k: int, seed: int = 7, exact: bool = False, tables: int = TABLES, recall: float = RECALL) -> DataFrame:
+    """(rep, c, cosine): up to k most similar other distinct vectors of every distinct vector."""
+    spark = v.distinct.sparkSession
+    made = fit_tables(sample(v, FIT_ROWS), v.count, k, seed, 1 if exact else tables, recall)
+    stored = [store(v, t) for t in made]
+    shared = spark.sparkContext.broadcast(stored)  # boxes of at most FIT_ROWS / LEAST_FIT cells, and a name for each block
+    step = min(QUERIES, max(256, SCORES // max(len(t) for t in made)))
+    tasks = [(b, lo) for b in sorted(stored[0].blocks.files) for lo in range(0, 2 * BLOCK, step)]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        readers = [Reader(s.blocks) for s in shared.value]
+        for batch in batches:
+            for b, lo in zip(*(c.to_pylist() for c in batch.columns)):
+                own = readers[0].get(b)
+                part = slice(lo, lo + step if lo + step < 2 * BLOCK else None)
+                if not len(own.rep[part]):
+                    continue
+                s = Search(own.rep[part], own.raw[part], k)
+                for t, r in zip(shared.value, readers):
+                    s.visit(t, r, exact)
+                who, cand, cosine = s.held[0] if s.held else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+                yield pa.RecordBatch.from_arrays([pa.array(s.ids[who]), pa.array(cand), pa.array(cosine)], ["rep", "c", "cosine"])
+
+    per = max(1, min(len(tasks), v.count // min(step, block_rows(v.count))))
+    work = spark.createDataFrame(tasks, "block bigint, lo int").filter(F.col("lo") < 2 * block_rows(v.count)).repartition(per, "block", "lo")
+    found = materialize(work.mapInArrow(search, "rep bigint, c bigint, cosine double"))
+    for s in stored:
+        s.blocks.release(spark)
+    return found
+
+
+def neighbours(rows: DataFrame, k: int = 5, id_col: str = "item_id", vec_col: str = "embedding", seed: int = 7, exact: bool = False) -> DataFrame:
     """(item_id, neighbour_id, cosine, place): the k most similar other items of every item.
 
     Null, empty, zero and non-finite vectors are left out and are no neighbours; a repeated
     row counts once; items that share a vector are neighbours with cosine 1. Cosines are in
     double, rounded to 9 decimals; ties go to the smaller id. Fewer than k + 1 usable items
     give fewer neighbours; an empty table none. The index holds every vector; what is
-    approximate is the set of candidates (recall is measured in the tests).
+    approximate is the set of cells that a query visits (recall is measured in the tests),
+    and with exact=True nothing is.
     """
-    return neighbours_of(usable(rows, id_col, vec_col), k, seed)
-
+    return neighbours_of(usable(rows, id_col, vec_col), k, seed, exact)
 
-def coarse_router(mean: np.ndarray, root: np.ndarray, count: int, seed: int) -> tuple[Hash, list[tuple[int, ...]]]:
-    """The coarse hash for that many vectors, and the perturbations by which a query visits cells."""
-    router = Hash(mean, root, round(0.4 * np.log2(max(2, count)) - 2.2), COARSE_WIDTH, seed)
-    return router, probe_sets(router.m, COARSE_PROBES * PROBE_GROWTH ** max(0, router.m - PROBED_DIRECTIONS))
 
-
-def coarse_neighbours(v: Vectors, k: int, seed: int) -> DataFrame:
-    """(q, c, cosine) for distinct vectors: up to k candidates from each block that q visits."""
-    dim = v.dim
-    mean, cov = moments(v.distinct, dim)
-    values, axes = np.linalg.eigh(cov)
-    root = axes * np.sqrt(np.maximum(values, 1e-12))
-    router, sets = coarse_router(mean, root, v.count, seed)
-    step = max(1, ROUTED // (len(sets) + 1))
-    spark = v.distinct.sparkSession
-
-    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, step):
-                codes = router.probes(unit(matrix(b.column("vec").slice(lo, step), dim)).astype(np.float32), sets)
-                cell, n = np.unique(codes, return_counts=True)
-                own, n_own = np.unique(codes[:, 0], return_counts=True)
-                stored = np.zeros(len(cell), np.int64)
-                stored[np.searchsorted(cell, own)] = n_own
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(stored), pa.array(n)], ["cell", "stored", "asked"])
-
-    sizes = v.distinct.select("vec").mapInArrow(cells_of, "cell bigint, stored bigint, asked bigint").groupBy("cell").agg(F.sum("stored").alias("stored"), F.sum("asked").alias("asked"))
-    # blocks of the cells that hold vectors, of which there are a few for each of 3 ** m; visits to other cells find nothing and are not sent
-    held = {r.cell: (-(-r.stored // BLOCK), -(-r.asked // QUERY_BLOCK)) for r in sizes.filter("stored > 0").collect()}
-    shared = spark.sparkContext.broadcast(held)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        keys = np.array(sorted(known), np.int64)
-        blocks = np.array([known[c] for c in keys.tolist()], np.int64).reshape(-1, 2)
-        for b in batches:
-            for lo in range(0, b.num_rows, step):
-                part = b.slice(lo, step)
-                ids = part.column("rep").to_numpy()
-                codes = router.probes(unit(matrix(part.column("vec"), dim)).astype(np.float32), sets)
-                row = np.r_[np.arange(len(ids)), np.repeat(np.arange(len(ids)), codes.shape[1])]
-                cell = np.r_[codes[:, 0], codes.ravel()]
-                asks = np.r_[np.zeros(len(ids), bool), np.ones(codes.size, bool)]
-                n = np.tile(np.array([0, 1]), (len(cell), 1))
-                at = np.minimum(np.searchsorted(keys, cell), len(keys) - 1)
-                hit = keys[at] == cell
-                n[hit] = blocks[at[hit]]
-                copies = np.where(asks, n[:, 0], n[:, 1])  # a query goes to all blocks of vectors, and the other way round
-                rep = np.repeat(np.arange(len(cell)), copies)
-                copy = np.arange(len(rep)) - np.repeat(np.cumsum(copies) - copies, copies)
-                own = (ids[row] % np.where(asks, n[:, 1], n[:, 0]))[rep]
-                with np.errstate(over="ignore"):
-                    block = np.where(asks[rep], copy * 1_000_003 + own, own * 1_000_003 + copy)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell[rep]), pa.array(block), pa.array(asks[rep]), pa.array(ids[row[rep]]), part.column("vec").take(pa.array(row[rep]))],
-                    ["cell", "block", "asks", "id", "vec"],
-                )
-
-    def search(t: pa.Table) -> pa.Table:
-        asks = t.column("asks").to_numpy()
-        x = matrix(t.column("vec"), dim)
-        ids = t.column("id").to_numpy()
-        n = int((~asks).sum())
-        m = max(1, round(np.log2(max(2, n)) - 4.5))
-        hashes = [Hash(mean, root, m, FINE_WIDTH, seed + 1 + i) for i in range(FINE_TABLES)]
-        out = search_block(ids[~asks], x[~asks], ids[asks], x[asks], k, hashes, 3 * m) if n else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-        return pa.table({"q": pa.array(out[0], pa.int64()), "c": pa.array(out[1], pa.int64()), "cosine": pa.array(out[2], pa.float64())})
-
-    routed = v.distinct.mapInArrow(route, "cell bigint, block bigint, asks boolean, id bigint, vec binary")
-    return routed.groupBy("cell", "block").applyInArrow(search, "q bigint, c bigint, cosine double")
-
-
-def neighbours_of(v: Vectors, k: int, seed: int = 7) -> DataFrame:
+def neighbours_of(v: Vectors, k: int, seed: int = 7, exact: bool = False) -> DataFrame:
     """The neighbours of all items of prepared vectors; see neighbours()."""
     spark = v.distinct.sparkSession
     if not v.count:
         return spark.createDataFrame([], "item_id bigint, neighbour_id bigint, cosine double, place int")
-    found = coarse_neighbours(v, k, seed)
-    best = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("far"), "c"))), 1, k).alias("best"))
-    near = materialize(best.select(F.col("q").alias("rep"), F.explode("best").alias("x")).select("rep", F.col("x.c").alias("c"), (-F.col("x.far")).alias("cosine")))
+    near = nearest(v, k, seed, exact)
     firsts = materialize(first_members(v, k + 1))
     # neighbours by representative: each shared vector stands for its first items, and the own vector for its other items
     wide = near.join(firsts.select(F.col("rep").alias("c"), F.col("item_id").alias("other"), "place"), "c", "left").select("rep", F.coalesce("other", "c").alias("other"), "cosine")

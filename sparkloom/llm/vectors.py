@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from sparkloom.shared import materialize
 
 
+#: Items besides the first of shared vectors, up to which they are broadcast where the vectors are read.
+MOST_EXTRA = 1_000_000
+
+
 @dataclass
 class Vectors:
     """distinct: (rep, vec) with vec as float32 bytes; rep is the smallest item of that vector.
@@ -29,22 +33,22 @@ class Vectors:
 
 
 def usable(rows: DataFrame, id_col: str = "item_id", vec_col: str = "embedding") -> Vectors:
-    """Drops null ids, null, empty, zero and non-finite vectors and those of another length than most.
+    """Drops null ids, null, empty, zero and non-finite vectors and those of another length than most rows have.
 
-    A repeated row counts once; of different vectors of one item the smallest stays.
+    A repeated row counts once; of different vectors of one item the one of the smallest
+    bytes stays. Vectors are shuffled and written once; equal ones are found by 96 bits of
+    their hashes.
     """
     v = F.col("v")
     slim = rows.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(vec_col).cast("array<float>").alias("v")).filter(
         F.col("item_id").isNotNull() & (F.size(v) > 0)
     )
     fine = slim.filter(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
-    clean = materialize(fine.groupBy("item_id").agg(F.min("v").alias("v")))
-    lengths = clean.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    lengths = fine.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     if lengths is None:
-        empty = clean.select(F.col("item_id").alias("rep"), F.lit(b"").alias("vec"))
-        return Vectors(empty, clean.select(F.col("item_id").alias("rep"), F.lit(1).alias("n")), clean.select("item_id", F.col("item_id").alias("rep")), 1, 0)
+        empty = fine.select("item_id", F.col("item_id").alias("rep"), F.lit(b"").alias("vec"))
+        return Vectors(empty.select("rep", "vec"), empty.select("rep", F.lit(1).alias("n")), empty.select("item_id", "rep"), 1, 0)
     dim = lengths.d
-    same = clean.filter(F.size("v") == dim)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -54,11 +58,19 @@ def usable(rows: DataFrame, id_col: str = "item_id", vec_col: str = "embedding")
             )
             yield pa.RecordBatch.from_arrays([b.column("item_id"), raw], ["item_id", "vec"])
 
-    packed = materialize(same.mapInArrow(pack, "item_id bigint, vec binary"))
-    groups = materialize(packed.groupBy("vec").agg(F.min("item_id").alias("rep"), F.count("*").alias("n")))
-    shared = groups.filter("n > 1")
-    members = packed.join(shared.select("vec", "rep"), "vec", "left").select("item_id", F.coalesce("rep", "item_id").alias("rep"))
-    return Vectors(groups.select("rep", "vec"), shared.select("rep", "n"), members, dim, groups.count())
+    one = fine.filter(F.size("v") == dim).mapInArrow(pack, "item_id bigint, vec binary").groupBy("item_id").agg(F.min("vec").alias("vec"))
+    packed = materialize(one.withColumn("h", F.xxhash64("vec")).withColumn("c", F.crc32("vec")))
+    shared = materialize(packed.groupBy("h", "c").agg(F.min("item_id").alias("rep"), F.count("*").alias("n")).filter("n > 1"))
+    copies = materialize(packed.select("item_id", "h", "c").join(shared, ["h", "c"]).select("item_id", "rep"))
+    extra = copies.filter("item_id <> rep").select(F.col("item_id").alias("rep"))
+    n_extra = extra.count()
+    distinct = packed.select(F.col("item_id").alias("rep"), "vec")
+    if 0 < n_extra <= MOST_EXTRA:
+        distinct = distinct.join(F.broadcast(extra), "rep", "left_anti")
+    elif n_extra:
+        distinct = materialize(distinct.join(extra, "rep", "left_anti"))
+    members = packed.select("item_id").join(copies, "item_id", "left").select("item_id", F.coalesce("rep", "item_id").alias("rep"))
+    return Vectors(distinct, shared.select("rep", "n"), members, dim, packed.count() - n_extra)
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -72,6 +84,18 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.frombuffer(data, np.float32, len(column) * dim, int(start)).reshape(len(column), dim) if len(column) else np.zeros((0, dim), np.float32)
 
 
+def sample(v: Vectors, most: int) -> np.ndarray:
+    """The unit vectors of about most vectors, all of them if there are no more: those of the smallest hashes.
+
+    Each split sends only the vectors whose hash lies below the wanted share.
+    """
+    rows = v.distinct
+    if v.count > most:
+        rows = rows.filter(F.xxhash64("rep", F.lit(1)) < F.lit(int(-(2**63) + most / v.count * 2.0**64)))
+    t = rows.toArrow().sort_by("rep")
+    return unit(matrix(t.column("vec"), v.dim)) if len(t) else np.zeros((0, v.dim))
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows of length 1, in double."""
     x = x.astype(np.float64)

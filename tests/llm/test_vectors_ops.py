@@ -3,9 +3,10 @@
 import numpy as np
 import pytest
 
+from sparkloom.llm import neighbours as N
 from sparkloom.llm.components import connected_components
 from sparkloom.llm.mixture import describe, similarity_clusters
-from sparkloom.llm.neighbours import coarse_router, neighbours, probe_sets
+from sparkloom.llm.neighbours import Table, fit_tables, neighbours
 from sparkloom.llm.vectors import unit
 
 DDL = "item_id bigint, embedding array<float>, rep string, vec string"
@@ -56,34 +57,48 @@ def test_neighbours_of_few_or_no_vectors(spark):
     assert sorted((r.item_id, r.neighbour_id) for r in few) == [(i, j) for i in range(3) for j in range(3) if i != j]
 
 
-def test_probe_sets_move_no_coordinate_both_ways():
-    for m in (1, 3, 7):
-        sets = probe_sets(m, 50)
-        assert len(set(sets)) == len(sets)
-        assert all(2 * m + 1 - i not in s for s in sets for i in s)
-    assert len(probe_sets(2, 99)) == 3**2 - 1
+def test_exact_search_loses_nothing(spark, monkeypatch):
+    x = planted(4)
+    s = np.round(cosines(x), 9)
+    np.fill_diagonal(s, -9)
+    monkeypatch.setattr(N, "CELL", 20)
+    got = {(r.item_id, r.place): r.neighbour_id for r in neighbours(frame(spark, x), k=5, exact=True).collect()}
+    assert got == {(i, p + 1): j for i in range(len(x)) for p, j in enumerate(sorted(range(len(x)), key=lambda j: (-s[i, j], j))[:5])}
 
 
-@pytest.mark.parametrize(("count", "m"), [(90_000, 4), (200_000, 5), (1_000_000, 6), (6_000_000, 7)])
-def test_queries_visit_the_cells_of_their_neighbours(count, m):
+def sf_vectors():
     import pyarrow.parquet as pq
 
     rows = pq.read_table("/root/testdata/sf0.1/embeddings_b2.parquet")["embedding"].to_pylist()
     x = np.array([v for v in rows if v and len(v) == 64 and None not in v], np.float32)
-    x = unit(np.unique(x[np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)], axis=0))
-    values, axes = np.linalg.eigh(np.cov(x.T, bias=True))
-    q = np.random.default_rng(0).choice(len(x), 500, replace=False)
+    return unit(np.unique(x[np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)], axis=0))
+
+
+def test_cells_are_boxes_that_hold_their_vectors():
+    x = sf_vectors()
+    t = Table(x, 90_000, 5, 3, 0.9)
+    cell, p = t.cells(x.astype(np.float32)), x.astype(np.float32) @ t.a
+    assert (p >= t.lo[cell]).all() and (p <= t.hi[cell]).all() and len(t) > 50
+    assert (t.borders(x[:50].astype(np.float32))[np.arange(50), cell[:50]] == 0).all()
+
+
+@pytest.mark.parametrize("count", [90_000, 1_000_000, 10_000_000])
+def test_queries_visit_the_cells_of_their_neighbours(count):
+    """Tables as fine as for that many vectors; a query knows its last neighbour's distance."""
+    x = sf_vectors()
+    rng = np.random.default_rng(0)
+    fit, q = rng.permutation(len(x))[:6000], rng.choice(len(x), 500, replace=False)
     s = x[q] @ x.T
     s[np.arange(len(q)), q] = -9
     true = np.argsort(-s, axis=1)[:, :5]
-    seen = []
-    for seed in (7, 8, 9):
-        router, sets = coarse_router(x.mean(axis=0), axes * np.sqrt(np.maximum(values, 1e-12)), count, seed)
-        assert router.m == m
-        cell, _ = router.cells(x.astype(np.float32))
-        visited = router.probes(x[q].astype(np.float32), sets)
-        seen.append((cell[true][:, :, None] == visited[:, None, :]).any(axis=2).mean())
-    assert min(seen) > 0.92, seen
+    reach = 2 - 2 * np.take_along_axis(s, true, 1).min(axis=1)
+    seen, share = np.zeros(true.shape, bool), 0.0
+    for t in fit_tables(x[fit], count, 5, 7):
+        visited = t.borders(x[q].astype(np.float32)) / (t.bounded * t.share) <= reach[:, None]
+        cell = t.cells(x.astype(np.float32))
+        seen |= np.take_along_axis(visited, cell[true], 1)
+        share += visited[:, cell].mean()
+    assert seen.mean() > 0.95 and share < 0.5, (seen.mean(), share)
 
 
 def brute_clusters(x, least, size):
