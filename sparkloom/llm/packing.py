@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from sparkloom.shared import materialize
 
 #: A size is large from one of these fractions of the capacity, whichever needs the fewest containers; 1 / 5
-#: bounds a configuration to four parts, 1 leaves every size to the best fit.
-LARGE = (1 / 5, 1 / 4, 1 / 3, 1 / 2, 1.0)
+#: bounds a configuration to four parts.
+LARGE = (1 / 5, 1 / 4, 1 / 3, 1 / 2)
 #: Groups of large sizes; bounds the configurations (at most C(groups + 4, 4)).
 GROUPS = 14
-#: Salts of documents of equal size, so that one common size is no single task.
-BUCKETS = 64
+#: Documents of equal size that are ranked together; a common size is divided among as many tasks as it needs.
+RANKED = 1 << 17
 
 
 @dataclass
@@ -95,12 +95,15 @@ def solve(patterns: np.ndarray, demand: np.ndarray) -> dict[int, int]:
     for i in range(k):
         j = int(np.argmax(patterns[:, i]))
         basis[i, i] = patterns[j, i]  # a configuration of one size only, completed below
-    for _ in range(60 * k):
+    step = 0
+    while True:
         y = np.linalg.solve(basis.T, np.ones(k))
         value = patterns @ y
-        j = int(np.argmax(value))
+        # the best configuration enters; after many steps the first that improves, which can't go round in a circle
+        j = int(np.argmax(value)) if step < 60 * k else int(np.argmax(value > 1 + 1e-9))
         if value[j] <= 1 + 1e-9:
             break
+        step += 1
         x = np.linalg.solve(basis, demand)
         d = np.linalg.solve(basis, patterns[j])
         ratio = np.where(d > 1e-12, x / np.where(d > 1e-12, d, 1), np.inf)
@@ -217,7 +220,7 @@ def plan_from(sizes: list[int], counts: list[int], capacity: int, groups: int, l
 
 def pack(
     sizes: DataFrame, limits: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens",
-    groups: int = GROUPS, large: tuple[float, ...] = LARGE, buckets: int = BUCKETS,
+    groups: int = GROUPS, large: tuple[float, ...] = LARGE, ranked: int = RANKED,
 ) -> DataFrame:
     """(pack_name, container_id, doc_id, part, first_token, n_tokens): where each document goes.
 
@@ -240,12 +243,15 @@ def pack(
             "pack_name", "doc_id", F.col("part").cast("int").alias("part"),
             (F.col("part") * F.col("capacity")).alias("first_token"),
             F.least(F.col("capacity").cast("bigint"), F.col("size") - F.col("part") * F.col("capacity")).cast("int").alias("n_tokens"),
-            F.pmod(F.xxhash64("doc_id", "part"), F.lit(buckets)).cast("int").alias("bucket"),
         )
     )
     items = materialize(items)
+    hist = items.filter("n_tokens > 0").groupBy("pack_name", "n_tokens").agg(F.count("*").alias("n")).collect()  # at most one row for each size
+    divided = [(r.pack_name, r.n_tokens, -(-r.n // ranked)) for r in hist if r.n > ranked]
+    divided = spark.createDataFrame(divided, "pack_name string, n_tokens int, buckets bigint")
+    bucket = F.pmod(F.xxhash64("doc_id", "part"), F.coalesce("buckets", F.lit(1))).cast("int").alias("bucket")
+    items = items.join(F.broadcast(divided), ["pack_name", "n_tokens"], "left").select("pack_name", "doc_id", "part", "first_token", "n_tokens", bucket)
     per_bucket = materialize(items.filter("n_tokens > 0").groupBy("pack_name", "n_tokens", "bucket").agg(F.count("*").alias("n")))
-    hist = per_bucket.groupBy("pack_name", "n_tokens").agg(F.sum("n").alias("n")).collect()  # at most one row for each size
     runs: dict[str, list[Run]] = {}
     for name, cap in caps:
         own = sorted((r.n_tokens, r.n) for r in hist if r.pack_name == name)

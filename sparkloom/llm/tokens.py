@@ -2,10 +2,10 @@
 
 Texts are cut where a line feed follows a character that is no white space, which is
 always a border between pre-tokens; equal pieces are encoded once in a worker. The
-words of a piece are looked up in a lexicon: the corpus's frequent words, compiled
-into a minimal acyclic automaton (states with equal continuations are shared) whose
-paths carry word counts, so that a word's path sums to its number and the number
-gives its ids. The automaton is a file in the shared folder that workers map into
+distinct words of a batch of texts are looked up in a lexicon, all at once: the corpus's
+frequent words, compiled into a minimal acyclic automaton (states with equal continuations
+are shared) whose paths carry word counts, so that a word's path sums to its number and the
+number gives its ids. The automaton is a file in the shared folder that workers map into
 memory. Words that it lacks are merged exactly by the vocabulary's ranks.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.shared import shared_dir
+from sparkloom.shared import materialize, release, shared_dir
 
 #: Where the public vocabulary files are.
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -34,6 +34,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LEXICON_WORDS = 1 << 14
 #: Characters of pieces that a worker remembers, and words it remembers.
 CACHE_CHARS, CACHE_WORDS = 1 << 21, 1 << 17
+#: Characters of the texts that are encoded together.
+BATCH_CHARS = 1 << 20
 
 
 def load_ranks(name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR):
@@ -46,8 +48,8 @@ def load_ranks(name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR):
 
 
 def merge_word(encoding, word: str) -> list[int]:
-    """The ids of one pre-token by rank-ordered merges."""
-    return encoding._encode_single_piece(word)
+    """The ids of one pre-token by rank-ordered merges; alone, it is one pre-token too."""
+    return encoding.encode_ordinary(word)
 
 
 class Lexicon:
@@ -63,7 +65,8 @@ class Lexicon:
 
     def __init__(self, **arrays: np.ndarray) -> None:
         self.arrays = arrays
-        self.state: dict[int, tuple[bool, dict[int, tuple[int, int]]]] = {}
+        first = arrays["first"].astype(np.int64)
+        self.keys = np.repeat(np.arange(len(first) - 1), np.diff(first)) * 256 + arrays["label"]  # state and byte of each transition, in order
 
     @classmethod
     def build(cls, words: dict[str, list[int]]) -> Lexicon:
@@ -127,29 +130,34 @@ class Lexicon:
     def open(cls, folder: str) -> Lexicon:
         return cls(**{k: np.load(f"{folder}/{k}.npy", mmap_mode="r").view(np.ndarray) for k in cls.FIELDS})
 
-    def _state(self, s: int) -> tuple[bool, dict[int, tuple[int, int]]]:
-        """A state's transitions, taken from the mapped file when it is first visited."""
-        got = self.state.get(s)
-        if got is None:
-            a = self.arrays
-            lo, hi = int(a["first"][s]), int(a["first"][s + 1])
-            out = dict(zip(a["label"][lo:hi].tolist(), zip(a["target"][lo:hi].tolist(), a["before"][lo:hi].tolist())))
-            got = self.state[s] = (bool(a["final"][s]), out)
-        return got
-
-    def find(self, word: bytes) -> bytes | None:
-        """The word's ids as int32 bytes, or None if the lexicon lacks it."""
-        s, number = 0, 0
-        for c in word:
-            step = self._state(s)[1].get(c)
-            if step is None:
-                return None
-            s = step[0]
-            number += step[1]
-        if not self._state(s)[0]:
-            return None
-        at = self.arrays["id_at"]
-        return self.arrays["ids"][int(at[number]) : int(at[number + 1])].tobytes()
+    def find_all(self, words: list[bytes]) -> list[bytes | None]:
+        """Each word's ids as int32 bytes, or None where the lexicon lacks it: all paths are walked together, a byte at a time."""
+        a = self.arrays
+        n = len(words)
+        size = np.fromiter(map(len, words), np.int64, n)
+        flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        start = np.cumsum(size) - size
+        state, number = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        left = np.flatnonzero(size > 0)
+        state[size == 0] = -1
+        k = 0
+        while len(left) and len(self.keys):
+            want = state[left] * 256 + flat[start[left] + k]
+            at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+            there = self.keys[at] == want
+            state[left[~there]] = -1
+            left, at = left[there], at[there]
+            number[left] += a["before"][at]
+            state[left] = a["target"][at]
+            k += 1
+            left = left[size[left] > k]
+        if not len(self.keys):
+            state[:] = -1
+        ok = state >= 0
+        ok[ok] = a["final"][state[ok]] > 0
+        lo, hi = a["id_at"][number * ok], a["id_at"][(number + 1) * ok]
+        ids = a["ids"]
+        return [ids[i:j].tobytes() if good else None for good, i, j in zip(ok.tolist(), lo.tolist(), hi.tolist())]
 
 
 _WIDE_SPACE = re.compile(r"\s |^ ").search
@@ -191,7 +199,7 @@ class Encoder:
     def __init__(self, lexicon: Lexicon, name: str, folder: str) -> None:
         import regex
 
-        self.find = lexicon.find
+        self.lexicon = lexicon
         self.split = regex.compile(PATTERN).findall
         self.merger = load_ranks(name, folder)
         self.seen: dict[str, bytes] = {}
@@ -199,37 +207,33 @@ class Encoder:
         self.done: dict[str, bytes] = {}
         self.held = 0
 
-    def word(self, w: str) -> bytes:
-        got = self.seen.get(w)
-        if got is None:
-            got = self.find(w.encode())
-            if got is None:
-                got = np.array(merge_word(self.merger, w), np.int32).tobytes()
-            if len(self.seen) >= CACHE_WORDS:
-                self.seen.clear()
-            self.seen[w] = got
-        return got
-
-    def part(self, p: str) -> bytes:
-        if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
-        got = self.words[p] = b"".join(map(self.word, self.split(" " + p)))
-        return got
-
-    def piece(self, p: str) -> bytes:
-        known = self.words.get
-        head, *rest = spaced(p)
-        out = b"".join([*map(self.word, self.split(head)), *(known(w) or self.part(w) for w in rest)])
-        self.held += len(p)
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as int32 bytes."""
+        cut = [pieces(t) for t in texts]
         if self.held > CACHE_CHARS:
-            self.done.clear()
-            self.held = 0
-        self.done[p] = out
-        return out
-
-    def text(self, text: str) -> bytes:
-        known = self.done.get
-        return b"".join([known(p) or self.piece(p) for p in pieces(text)])
+            self.done, self.held = {}, 0
+        self._learn({p for own in cut for p in own if p not in self.done})
+        done = self.done
+        return [b"".join([done[p] for p in own]) for own in cut]
+
+    def _learn(self, new: set[str]) -> None:
+        """Encodes pieces that aren't known; what is remembered is dropped first where it grows too large."""
+        if len(self.words) > CACHE_WORDS:
+            self.words = {}
+        if len(self.seen) > CACHE_WORDS:
+            self.seen = {}
+        split, seen, words = self.split, self.seen, self.words
+        heads = {p: spaced(p) for p in new}
+        parts = {w: split(" " + w) for own in heads.values() for w in own[1:] if w not in words}
+        first = {own[0]: split(own[0]) for own in heads.values()}
+        unknown = list({w for own in (*parts.values(), *first.values()) for w in own if w not in seen})
+        for w, ids in zip(unknown, self.lexicon.find_all([w.encode() for w in unknown])):
+            seen[w] = ids if ids is not None else np.array(merge_word(self.merger, w), np.int32).tobytes()
+        for w, own in parts.items():
+            words[w] = b"".join([seen[x] for x in own])
+        for p, own in heads.items():
+            self.done[p] = b"".join([*[seen[x] for x in first[own[0]]], *[words[w] for w in own[1:]]])
+            self.held += len(p)
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -271,16 +275,30 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return slim.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit_lexicon(docs: DataFrame, text_col: str, name: str, folder: str, words: int) -> Callable[[], Lexicon]:
-    """Compiles the corpus's most frequent words and returns how a worker opens them.
+def frequent_words(docs: DataFrame, text_col: str, words: int) -> list[str]:
+    """The corpus's most frequent words that occur more than once, at most so many.
 
-    Counts are over all texts; only the bounded list of the most frequent words (ties:
-    the word that sorts first) comes to the driver.
+    Counts are over all texts. A histogram of the counts, in classes of a twentieth of a
+    power of two, tells from which class on all words fit the bound; only those words come
+    to the driver. Words of a class stay together, so there are no ties to break.
     """
+    counts = materialize(count_words(docs, text_col).filter("n > 1").withColumn("class", F.floor(F.log2("n") * 20).cast("int")))
+    room, least = words, None
+    for r in counts.groupBy("class").agg(F.count("*").alias("n")).orderBy(F.desc("class")).collect():  # at most 20 * 63 classes
+        room -= r.n
+        if room < 0:
+            break
+        least = r["class"]
+    top = [r.word for r in counts.filter(F.col("class") >= least).select("word").collect()] if least is not None else []
+    release(counts)
+    return top
+
+
+def fit_lexicon(docs: DataFrame, text_col: str, name: str, folder: str, words: int) -> Callable[[], Lexicon]:
+    """Compiles the corpus's most frequent words and returns how a worker opens them."""
     spark: SparkSession = docs.sparkSession
-    top = [r[0] for r in count_words(docs, text_col).orderBy(F.desc("n"), "word").limit(words).collect()]
     merger = load_ranks(name, folder)
-    lexicon = Lexicon.build({w: merge_word(merger, w) for w in top})
+    lexicon = Lexicon.build({w: merge_word(merger, w) for w in frequent_words(docs, text_col, words)})
     out = urlparse(f"{shared_dir(spark)}/lexicon-{uuid.uuid4().hex}")
     if out.scheme not in ("", "file"):  # no path that can be mapped: the bounded arrays travel themselves
         shared = spark.sparkContext.broadcast(lexicon.arrays)
@@ -306,21 +324,19 @@ def encode(
         for batch in batches:
             n = batch.num_rows
             at = 0
-            while at < n:  # output batches of bounded size, whatever the texts' length
-                outs, sizes, first = [], [0], at
-                held = 0
-                while at < n and held < 1 << 23:
-                    out = encoder.text(batch.column(1)[at].as_py() or "")
-                    sizes.append(len(out) // 4)
-                    if not lengths_only:
-                        outs.append(out)
-                        held += len(out)
+            while at < n:  # as many texts at a time as have a bounded length, whatever each has
+                texts, first, chars = [], at, 0
+                while at < n and chars < BATCH_CHARS:
+                    texts.append(batch.column(1)[at].as_py() or "")
+                    chars += len(texts[-1])
                     at += 1
+                outs = encoder.texts(texts)
+                sizes = [len(x) // 4 for x in outs]
                 ids = batch.column(0).slice(first, at - first)
                 if lengths_only:
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(sizes[1:], pa.int64())], ["doc_id", "n_tokens"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
                 else:
-                    offsets = pa.array(np.cumsum(sizes, dtype=np.int32))
+                    offsets = pa.array(np.cumsum([0, *sizes], dtype=np.int32))
                     flat = pa.array(np.frombuffer(b"".join(outs), np.int32))
                     yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "ids"])
 

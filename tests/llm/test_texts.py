@@ -10,7 +10,7 @@ from sparkloom.llm.packing import pack, plan
 from sparkloom.llm.products import product_groups, same_product
 from sparkloom.llm.sentences import sentences, split_line
 from sparkloom.llm.titles import agree, attributes, canonical_words
-from sparkloom.llm.tokens import Lexicon, count_words, encode, load_ranks, merge_word, pieces, spaced
+from sparkloom.llm.tokens import Lexicon, count_words, encode, frequent_words, load_ranks, merge_word, pieces, spaced
 
 TEXTS = [
     None, "", " ", "\n", "a\n\n\n  b\n", "Hello  world \n x", "it's 12 I'll we've", "<|endoftext|> x", "x" * 3000, "　 全角 空格", "﻿BOM", "tab\t \tx\r\n", "คนไทย รัก", "ज़िले का", "é́ é", "🙂🙂 👩‍👩‍👧",
@@ -41,6 +41,34 @@ def test_word_counts_cover_all_texts(spark):
     assert {r.word: r.n for r in count_words(df).collect()} == dict(want)
 
 
+def test_frequent_words_are_bounded_and_counted_over_all_texts(spark):
+    df = spark.createDataFrame([(f"aa bb aa cc {i}",) for i in range(8)] + [("dd dd",)], "text string").repartition(4)
+    assert set(frequent_words(df, "text", 100)) == {"aa", " aa", " bb", " cc"}
+    assert frequent_words(df, "text", 3) == []  # four words are equally frequent
+    assert frequent_words(df, "text", 0) == []
+
+
+def test_small_memories_change_nothing(spark, monkeypatch):
+    from sparkloom.llm import tokens as TK
+
+    monkeypatch.setattr(TK, "CACHE_CHARS", 10)
+    monkeypatch.setattr(TK, "CACHE_WORDS", 3)
+    monkeypatch.setattr(TK, "BATCH_CHARS", 20)
+    enc = load_ranks()
+    e = TK.Encoder(Lexicon.build({w: merge_word(enc, w) for w in ("a", " word", "Hello")}), "byte_bpe_50k", TK.TOKENIZER_DIR)
+    for _ in range(2):
+        for t in TEXTS:
+            assert np.frombuffer(e.texts([t or "", "a word"])[0], np.int32).tolist() == enc.encode_ordinary(t or "")
+
+
+def test_a_lexicon_that_cannot_be_mapped_travels_itself(spark, monkeypatch):
+    from sparkloom.llm import tokens as TK
+
+    monkeypatch.setattr(TK, "shared_dir", lambda s: "hdfs://share")
+    opened = TK.fit_lexicon(spark.createDataFrame([("tap tap tap",)], "text string"), "text", "byte_bpe_50k", TK.TOKENIZER_DIR, 50)
+    assert opened().find_all([b" tap"]) == [np.array(merge_word(load_ranks(), " tap"), np.int32).tobytes()]
+
+
 def test_empty_corpus(spark):
     assert encode(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 
@@ -49,9 +77,9 @@ def test_lexicon_is_minimal_and_complete():
     enc = load_ranks()
     words = ["tap", "taps", "top", "tops", "stop", "stops", " house", "ü", "\n"]
     lex = Lexicon.build({w: merge_word(enc, w) for w in words})
-    for w in words:
-        assert np.frombuffer(lex.find(w.encode()), np.int32).tolist() == merge_word(enc, w)
-    assert lex.find(b"ta") is None and lex.find(b"tapes") is None and lex.find(b"") is None
+    assert [np.frombuffer(x, np.int32).tolist() for x in lex.find_all([w.encode() for w in words])] == [merge_word(enc, w) for w in words]
+    assert lex.find_all([b"ta", b"tapes", b"", b"\xff", b"taps"])[:4] == [None] * 4
+    assert Lexicon.build({}).find_all([b"a", b""]) == [None, None]
     assert len(lex.arrays["final"]) < sum(len(w.encode()) for w in words)
 
 
@@ -88,7 +116,7 @@ def test_packing_keeps_every_token(spark):
     rows = [(i, rng.choice([0, 1, 5, 30, 99, 100, 101, 250, 1000])) for i in range(400)] + [(900, None), (901, 7), (901, 7)]
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, n_tokens bigint, pack_name string, part int")
     limits = spark.createDataFrame([("small", 100), ("large", 1000)], "pack_name string, capacity int")
-    got = pack(docs, limits, buckets=4).collect()
+    got = pack(docs, limits, ranked=20).collect()
     for name, capacity in (("small", 100), ("large", 1000)):
         own = [r for r in got if r.pack_name == name]
         load: dict = {}
