@@ -21,6 +21,8 @@ COLOURS = {
     "red": "red", "silver": "silver", "silvertone": "silver", "walnut": "walnut", "white": "white", "wht": "white", "yellow": "yellow",
 }
 NUMBER_WORDS = dict(zip("one two three four five six seven eight nine ten eleven twelve".split(), range(1, 13)))
+#: What units measure, in a fixed order.
+MEASURES = ("length", "volume", "weight", "power", "voltage", "charge", "memory")
 #: Units: what they measure and how many of its base unit they are.
 UNITS = {
     "mm": ("length", 1.0), "cm": ("length", 10.0), "m": ("length", 1000.0), "in": ("length", 25.4), "inch": ("length", 25.4), "inches": ("length", 25.4),
@@ -39,6 +41,9 @@ _TOKEN = re.compile(r'[^\W_]+(?:\.\d+)?"?')
 _UNIT = re.compile(
     r'(?<![a-z0-9.])(\d+(?:\.\d+)?)\s*-?\s*(fl\.? ?oz|"|' + "|".join(sorted((u for u in UNITS if u.isalpha()), key=len, reverse=True)) + r")(?![a-z0-9])"
 )
+_THOUSANDS = re.compile(r"(?<=\d),(?=\d{3})")
+_WITHIN = re.compile(r"(?<=[^\W\d_])[-'’](?=[^\W\d_])")
+_LETTERS = re.compile(r"[a-z]+")
 _NUMBER_WORD = "|".join(NUMBER_WORDS)
 _COUNT = re.compile(
     rf"\b(?:pack|set|box|lot) of (\d+|{_NUMBER_WORD})\b|(?<![\w.-])(\d{{1,4}})[ -]?(?:pack|pk|pcs|pc|pieces|piece|count|ct)\b(?! of)|\b(single)\b"
@@ -51,17 +56,22 @@ _MODEL = re.compile(
 
 def plain(text: str | None) -> str:
     """Lower case without markup, entities, accents; hyphens within words and commas within numbers go."""
-    t = _TAG.sub(" ", unescape(_TAG.sub(" ", text or "")))
-    t = unicodedata.normalize("NFKD", t)
-    t = "".join(c for c in t if not unicodedata.combining(c)).casefold()
-    t = t.replace("″", '"').replace("”", '"').replace("“", '"')
-    return re.sub(r"(?<=\d),(?=\d{3})", "", t)
+    t = text or ""
+    if "<" in t or "&" in t:
+        t = _TAG.sub(" ", unescape(_TAG.sub(" ", t)))
+    if t.isascii():
+        t = t.lower()
+    else:
+        t = unicodedata.normalize("NFKD", t)
+        t = "".join(c for c in t if not unicodedata.combining(c)).casefold()
+        t = t.replace("″", '"').replace("”", '"').replace("“", '"')
+    return _THOUSANDS.sub("", t) if "," in t else t
 
 
-def canonical_words(title: str | None) -> tuple[str, ...]:
-    """The words that tell a title: without sales phrases, each word of letters only once, in order."""
-    t = _SALES.sub(" ", " ".join(plain(title).split()))
-    t = re.sub(r"(?<=[^\W\d_])[-'’](?=[^\W\d_])", "", t)
+def canonical_words(title: str | None, flat: str | None = None) -> tuple[str, ...]:
+    """The words that tell a title: without sales phrases, each word of letters only once, in order. flat: plain(title), where it is known."""
+    t = _SALES.sub(" ", " ".join((plain(title) if flat is None else flat).split()))
+    t = _WITHIN.sub("", t)
     seen: set[str] = set()
     out = []
     for w in _TOKEN.findall(t):
@@ -78,28 +88,28 @@ def protected(word: str) -> bool:
     return word in COLOURS or word in NUMBER_WORDS or word in UNITS or any(c.isdigit() for c in word) or word in ("single", "pack", "finish")
 
 
-def attributes(title: str | None, features: str | None) -> dict[str, set]:
-    """Stated measures (by what they measure), colours, counts and model codes of a listing."""
+def attributes(title: str | None, features: str | None, flat: tuple[str, str] | None = None) -> dict[str, set]:
+    """Stated measures (by what they measure), colours, counts and model codes of a listing. flat: both texts through plain(), where known."""
     out: dict[str, set] = {}
-    for text in (plain(title), plain(features)):
+    for text in flat or (plain(title), plain(features)):
         text = " ".join(text.split())
-        taken = [False] * (len(text) + 1)
+        taken: list[tuple[int, int]] = []
+        free = lambda a, b, taken=taken: all(b <= s or a >= e for s, e in taken)
         for m in _MODEL.finditer(text):
             out.setdefault("model", set()).add((m.group(1).rstrip("- ") + m.group(2) + (m.group(3) or "")).upper())
-            taken[m.start() : m.end()] = [True] * (m.end() - m.start())
+            taken.append(m.span())
         for m in _COUNT.finditer(text):
-            if not taken[m.start()]:
+            if free(m.start(), m.start() + 1):
                 n = m.group(1) or m.group(2) or "1"
                 out.setdefault("count", set()).add(NUMBER_WORDS.get(n) or int(n))
-                taken[m.start() : m.end()] = [True] * (m.end() - m.start())
+                taken.append(m.span())
         for m in _UNIT.finditer(text):
-            if not any(taken[m.start() : m.end()]):
+            if free(*m.span()):
                 unit = m.group(2).replace(".", "").replace("floz", "fl oz")
                 kind, factor = UNITS[unit]
                 out.setdefault(kind, set()).add(round(float(m.group(1)) * factor, 1))
-        for w in re.findall(r"[a-z]+", text):
-            if w in COLOURS:
-                out.setdefault("colour", set()).add(COLOURS[w])
+        for w in COLOURS.keys() & set(_LETTERS.findall(text)):
+            out.setdefault("colour", set()).add(COLOURS[w])
     return out
 
 
