@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkloom.llm.vectors import matrix, unit
 from sparkloom.shared import shared_dir
@@ -40,6 +41,39 @@ class Blocks:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def lay_out(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """First block and number of blocks of each cell, and of all: cells follow each other in blocks of at most so many rows; a larger cell has several of its own."""
+    first, blocks = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    at, room = -1, 0
+    for c, m in enumerate(sizes.tolist()):
+        if not m:
+            continue
+        if m > most:
+            first[c], blocks[c] = at + 1, -(-m // most)
+            at, room = at + int(blocks[c]), 0
+            continue
+        if m > room:
+            at, room = at + 1, most
+        first[c], blocks[c] = at, 1
+        room -= m
+    return first, blocks, at + 1
+
+
+def block_of(cell: np.ndarray, rep: np.ndarray, first: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """The block of each row of a cell: by a hash of the row's number, where the cell has several."""
+    with np.errstate(over="ignore"):
+        mixed = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+    return first[cell] + (mixed % np.maximum(blocks[cell], 1).astype(np.uint64)).astype(np.int64)
+
+
+def cell_counts(parts: DataFrame, n_cells: int) -> np.ndarray:
+    """Adds up rows (cell, n), of which each split has one for each cell at most."""
+    out = np.zeros(n_cells, np.int64)
+    for r in parts.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # a row for each cell
+        out[r.cell] = r.n
+    return out
+
+
 def write_blocks(rows: DataFrame, n_blocks: int, dim: int) -> Blocks:
     """Writes rows (block, cell, rep, vec), sorted by cell within each block; the caller bounds the rows of a block."""
     spark = rows.sparkSession

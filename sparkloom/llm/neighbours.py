@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.blocks import BLOCK, Blocks, Reader, write_blocks
+from sparkloom.llm.blocks import BLOCK, Blocks, Reader, block_of, cell_counts, lay_out, write_blocks
 from sparkloom.llm.vectors import Vectors, first_members, matrix, sample, unit, usable
 from sparkloom.shared import materialize
 
@@ -169,34 +169,17 @@ def store(v: Vectors, table: Table) -> Stored:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
 
-    n = np.zeros(len(table), np.int64)
-    for r in v.distinct.select("vec").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # a row for each cell, of which the sample allows FIT_ROWS / LEAST_FIT
-        n[r.cell] = r.n
-    first, blocks = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-    most = block_rows(v.count)
-    at, room = -1, 0
-    for c, m in enumerate(n.tolist()):
-        if not m:
-            continue
-        if m > most:
-            first[c], blocks[c] = at + 1, -(-m // most)
-            at, room = at + int(blocks[c]), 0
-            continue
-        if m > room:
-            at, room = at + 1, most
-        first[c], blocks[c] = at, 1
-        room -= m
+    n = cell_counts(v.distinct.select("vec").mapInArrow(count, "cell bigint, n bigint"), len(table))  # at most FIT_ROWS / LEAST_FIT cells
+    first, blocks, total = lay_out(n, block_rows(v.count))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cell = table.cells(unit(matrix(b.column("vec"), dim)).astype(np.float32)) if b.num_rows else np.zeros(0, np.int64)
-            with np.errstate(over="ignore"):
-                mixed = (b.column("rep").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-            block = first[cell] + (mixed % np.maximum(blocks[cell], 1).astype(np.uint64)).astype(np.int64)
+            block = block_of(cell, b.column("rep").to_numpy(), first, blocks)
             yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(cell.astype(np.int32)), b.column("rep"), b.column("vec")], ["block", "cell", "rep", "vec"])
 
     placed = v.distinct.select("rep", "vec").mapInArrow(place, "block bigint, cell int, rep bigint, vec binary")
-    return Stored(table, write_blocks(placed, at + 1, dim), first, blocks)
+    return Stored(table, write_blocks(placed, total, dim), first, blocks)
 
 
 def block_rows(count: int) -> int:

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from sparkloom.llm import mixture as MX
 from sparkloom.llm import neighbours as N
 from sparkloom.llm.components import connected_components
 from sparkloom.llm.mixture import describe, similarity_clusters
@@ -137,6 +138,20 @@ def test_weak_links_across_several_components(spark):
     assert got == brute_clusters(x, 0.85, 2) and len(got) >= 2000
 
 
+def test_crowded_components_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(MX, "CROWDED", 150)
+    monkeypatch.setattr(MX, "ROWS_PER_COMPONENT", 60)
+    monkeypatch.setattr(MX, "BLOCK", 64)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(60, 16))[rng.integers(60, size=900)]
+    x = np.concatenate([base + 0.25 * rng.normal(size=base.shape), rng.normal(size=(300, 16))]).astype(np.float32)
+    c = similarity_clusters(frame(spark, x, dirty=False))
+    assert c.n_components > 10 and c.n_components not in (5, 10, 20)  # what the ladder of undivided mixtures offers
+    want = brute_clusters(x, 0.85, 4)
+    assert {(r.first_item_id, r.item_id) for r in c.labels.collect()} == want and want
+    assert {(r.first_item_id, r.item_id) for r in similarity_clusters(frame(spark, x, dirty=False), exact=True).labels.collect()} == want
+
+
 def test_clusters_of_an_empty_table(spark):
     c = similarity_clusters(frame(spark, planted()).limit(0))
     assert c.labels.collect() == []
@@ -147,3 +162,5 @@ def test_components_of_long_paths_and_hubs(spark):
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {**dict.fromkeys(range(42), 0), **dict.fromkeys(range(100, 130), 100)}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+    with pytest.raises(RuntimeError):
+        connected_components(spark.createDataFrame(links, "a bigint, b bigint"), most_rounds=1)
