@@ -4,7 +4,9 @@ Records are made canonical and hashed; hashes of evaluation rows meet equal hash
 training rows in a join. A title gives one hash of all its words and one for each word
 left out, so that titles that differ in a single word meet too; that word must be a
 misspelling, not another number, unit or colour. Titles of one or two words, which too many
-would share with a word left out, give a hash for each letter left out instead.
+would share with a word left out, give a hash for each letter left out instead, and so do
+titles of a template, whose hashes with a word left out many rows share. Titles in which
+two words have neighbouring letters swapped meet by the sorted letters of their words.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from sparkloom.shared import materialize
 LEAST_LETTERS = 4
 #: Words up to which a title is hashed with letters, not words, left out.
 SHORT_TITLE = 2
+#: Pairs of rows that a hash with a word left out may join; those of more are joined by that word's letters too.
+MOST_PAIRS = 4096
 
 
 def signatures(rows: DataFrame, id_col: str, title_col: str, key_col: str, split_col: str, train: str) -> DataFrame:
@@ -45,6 +49,9 @@ def signatures(rows: DataFrame, id_col: str, title_col: str, key_col: str, split
                 words = canonical_words(title)
                 if words:
                     add(i, t, "t\x1f" + "".join(words), None)
+                spellable = [w for w in words if len(w) >= LEAST_LETTERS and w.isalpha() and not protected(w)]
+                if len(spellable) > 1:
+                    add(i, t, "a\x1f" + "\x1f".join("".join(sorted(w)) if w in spellable else w for w in words), "\x1f" + "\x1f".join(words))
                 for k, w in enumerate(words):
                     if len(w) >= LEAST_LETTERS and w.isalpha() and not protected(w):
                         short = len(words) <= SHORT_TITLE
@@ -65,21 +72,55 @@ def cross_split_pairs(
 
     Rows repeat each other if their keys are equal apart from case and outer white space, or
     their titles apart from case, accents, white space, punctuation, markup, repeated words,
-    sales phrases, or one word that is one letter dropped, added, changed or swapped with its
-    neighbour; words of fewer than LEAST_LETTERS letters are never taken for misspelt, as one
+    sales phrases, one word that is one letter dropped, added, changed or swapped with its
+    neighbour, or two words with neighbouring letters swapped; words of fewer than LEAST_LETTERS letters are never taken for misspelt, as one
     letter makes them another word. Null and empty titles and keys, and titles of sales phrases only, match nothing;
     rows without a split or id are left out. Repeated rows give repeated pairs once. An
     empty table gives no rows.
     """
-    s = materialize(signatures(rows, id_col, title_col, key_col, split_col, train))
+    signed = materialize(signatures(rows, id_col, title_col, key_col, split_col, train))
+    # hashes of templates: a key of the word without each letter, which near words share, joins the hash
+    is_train = F.col("train").cast("bigint")
+    left_out = signed.filter("word IS NOT NULL AND NOT startswith(word, '\x1f')")
+    often = left_out.groupBy("hash").agg(F.sum(is_train).alias("n_train"), F.sum(1 - is_train).alias("n_eval")).filter(F.col("n_train") * F.col("n_eval") > MOST_PAIRS)
+    often = materialize(often.select("hash", F.lit(True).alias("often")))
+    if often.isEmpty():
+        s = signed
+    else:
+        marked = signed.join(often, "hash", "left").withColumn("often", F.col("often").isNotNull() & F.col("word").isNotNull() & ~F.startswith("word", F.lit("\x1f")))
+        without = F.array_distinct(F.concat(F.array("word"), F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.concat(F.substring("word", F.lit(1), k - 1), F.substring(F.col("word"), k + 1, F.length("word"))))))
+        finer = marked.filter("often").select("id", "train", "word", "hash", F.explode(without).alias("part"))
+        finer = finer.select("id", "train", F.unhex(F.md5(F.concat("hash", F.encode("part", "utf-8")))).alias("hash"), "word")
+        s = marked.filter("NOT often").select("id", "train", "hash", "word").unionByName(finer)
     left = s.filter("NOT train").select("hash", F.col("id").alias("eval_id"), F.col("word").alias("x"))
     right = s.filter("train").select("hash", F.col("id").alias("train_id"), F.col("word").alias("y"))
     letters = lambda c: F.array_join(F.array_sort(F.split(F.col(c), "")), "")
     swapped = (F.levenshtein("x", "y") == 2) & (F.length("x") == F.length("y")) & (letters("x") == letters("y"))
-    same = F.col("x").isNull() | (F.levenshtein("x", "y") <= 1) | swapped
+    twice = F.startswith("x", F.lit("\x1f")) & (F.levenshtein("x", "y", 4) >= 0)
+    same = F.col("x").isNull() | F.when(F.startswith("x", F.lit("\x1f")), twice).otherwise((F.levenshtein("x", "y") <= 1) | swapped)
     return left.join(right, "hash").filter(same).select("eval_id", "train_id").distinct()
 
 
+def overlap_classes(rows: DataFrame, id_col: str = "item_id", title_col: str = "title", split_col: str = "split", train: str = "train") -> DataFrame:
+    """(id, split, class, n_train): rows by canonical title, and how many training rows have it; rows without a title have none.
+
+    Whole copies are m times n pairs; their class and its counts are as many rows as there are.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        for b in batches:
+            keys = ["".join(canonical_words(t)) for t in b.column("title").to_pylist()]
+            numbers = [xxh3_64_intdigest(k.encode("utf-8", "surrogatepass")) - (1 << 63) if k else None for k in keys]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("split"), pa.array(numbers, pa.int64())], ["id", "split", "class"])
+
+    slim = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(title_col).alias("title"), F.col(split_col).alias("split")).filter("split IS NOT NULL AND id IS NOT NULL")
+    of = slim.mapInArrow(work, "id bigint, split string, class bigint").filter("class IS NOT NULL")
+    counts = of.groupBy("class").agg(F.sum((F.col("split") == train).cast("bigint")).alias("n_train"))
+    return of.join(counts, "class").select("id", "split", "class", "n_train")
+
+
 def overlap_report(rows: DataFrame, pairs: DataFrame, id_col: str = "item_id", split_col: str = "split", source_col: str = "main_category") -> DataFrame:
     """(split, source, n_rows, n_pairs): rows of each evaluation split and source that occur in training, and their pairs."""
     of = rows.select(F.col(id_col).alias("eval_id"), F.col(split_col).alias("split"), F.col(source_col).alias("source")).dropDuplicates(["eval_id"])

@@ -60,12 +60,24 @@ def _number(text: str) -> int:
     return xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _grams(words: list[str]) -> np.ndarray:
-    """Buckets of the n-grams of the words."""
+_KNOWN: dict[str, list[int]] = {}
+MOST_KNOWN = 1 << 15
+
+
+def _grams(words: list[str]) -> list[int]:
+    """Buckets of the n-grams of the words; those of words that were seen lately are remembered."""
     from xxhash import xxh3_64_intdigest
 
-    out = {f" {w} "[i : i + GRAM] for w in words for i in range(max(1, len(w) + 3 - GRAM))}
-    return np.array(sorted({xxh3_64_intdigest(g.encode("utf-8", "surrogatepass")) % GRAM_BUCKETS for g in out}), np.int32)
+    out: set[int] = set()
+    for w in words:
+        own = _KNOWN.get(w)
+        if own is None:
+            if len(_KNOWN) >= MOST_KNOWN:
+                _KNOWN.clear()
+            edged = f" {w} "
+            own = _KNOWN[w] = [xxh3_64_intdigest(edged[i : i + GRAM].encode("utf-8", "surrogatepass")) % GRAM_BUCKETS for i in range(max(1, len(edged) + 1 - GRAM))]
+        out.update(own)
+    return sorted(out)
 
 
 _RECORD = pa.schema(
@@ -91,7 +103,7 @@ def classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
                 brand = _brand(flat[1], store, words)
                 row = {"parent_asin": asin, "class": _number(repr((sorted(words), brand, kind, sorted(stated.items())))), "words": words, "brand": brand, "kind": kind}
                 row["brand_no"], row["kind_no"] = (None if x is None else _number(x) for x in (brand, kind))
-                row["grams"] = _grams(words).tolist()
+                row["grams"] = _grams(words)
                 for k in _STATED:
                     row[k] = [x if isinstance(x, int) else _number(x) for x in stated.get(k, ())]
                 for k in MEASURES:

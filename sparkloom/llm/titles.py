@@ -42,8 +42,10 @@ _UNIT = re.compile(
     r'(?<![a-z0-9.])(\d+(?:\.\d+)?)\s*-?\s*(fl\.? ?oz|"|' + "|".join(sorted((u for u in UNITS if u.isalpha()), key=len, reverse=True)) + r")(?![a-z0-9])"
 )
 _THOUSANDS = re.compile(r"(?<=\d),(?=\d{3})")
+#: Names of entities in capitals, in titles that someone put in capitals.
+_ENTITY = re.compile(r"&[A-Z]{2,};")
 _WITHIN = re.compile(r"(?<=[^\W\d_])[-'’](?=[^\W\d_])")
-_LETTERS = re.compile(r"[a-z]+")
+_LETTERS, _DIGIT = re.compile(r"[a-z]+"), re.compile(r"\d")
 _NUMBER_WORD = "|".join(NUMBER_WORDS)
 _COUNT = re.compile(
     rf"\b(?:pack|set|box|lot) of (\d+|{_NUMBER_WORD})\b|(?<![\w.-])(\d{{1,4}})[ -]?(?:pack|pk|pcs|pc|pieces|piece|count|ct)\b(?! of)|\b(single)\b"
@@ -58,7 +60,7 @@ def plain(text: str | None) -> str:
     """Lower case without markup, entities, accents; hyphens within words and commas within numbers go."""
     t = text or ""
     if "<" in t or "&" in t:
-        t = _TAG.sub(" ", unescape(_TAG.sub(" ", t)))
+        t = _TAG.sub(" ", unescape(_ENTITY.sub(lambda m: m.group().lower(), _TAG.sub(" ", t))))
     if t.isascii():
         t = t.lower()
     else:
@@ -68,9 +70,23 @@ def plain(text: str | None) -> str:
     return _THOUSANDS.sub("", t) if "," in t else t
 
 
+def _stutter(words: list[str]) -> list[str]:
+    """Runs of words that follow themselves at once are said once; the shortest runs first."""
+    if len(set(words)) == len(words):
+        return words
+    for n in range(1, len(words) // 2 + 1):
+        k = 0
+        while k + 2 * n <= len(words):
+            if words[k : k + n] == words[k + n : k + 2 * n]:
+                words = words[: k + n] + words[k + 2 * n :]
+            else:
+                k += 1
+    return words
+
+
 def canonical_words(title: str | None, flat: str | None = None) -> tuple[str, ...]:
     """The words that tell a title: without sales phrases, each word of letters only once, in order. flat: plain(title), where it is known."""
-    t = _SALES.sub(" ", " ".join((plain(title) if flat is None else flat).split()))
+    t = _SALES.sub(" ", " ".join(_stutter((plain(title) if flat is None else flat).split())))
     t = _WITHIN.sub("", t)
     seen: set[str] = set()
     out = []
@@ -88,28 +104,49 @@ def protected(word: str) -> bool:
     return word in COLOURS or word in NUMBER_WORDS or word in UNITS or any(c.isdigit() for c in word) or word in ("single", "pack", "finish")
 
 
-def attributes(title: str | None, features: str | None, flat: tuple[str, str] | None = None) -> dict[str, set]:
-    """Stated measures (by what they measure), colours, counts and model codes of a listing. flat: both texts through plain(), where known."""
-    out: dict[str, set] = {}
-    for text in flat or (plain(title), plain(features)):
-        text = " ".join(text.split())
-        taken: list[tuple[int, int]] = []
-        free = lambda a, b, taken=taken: all(b <= s or a >= e for s, e in taken)
+def _stated(text: str) -> list[tuple[str, object]]:
+    """What one text in plain() form states, as (kind, value)."""
+    text = " ".join(text.split())
+    out: list[tuple[str, object]] = []
+    taken: list[tuple[int, int]] = []
+    digits = _DIGIT.search(text) is not None
+    if digits:
         for m in _MODEL.finditer(text):
-            out.setdefault("model", set()).add((m.group(1).rstrip("- ") + m.group(2) + (m.group(3) or "")).upper())
+            out.append(("model", (m.group(1).rstrip("- ") + m.group(2) + (m.group(3) or "")).upper()))
+            taken.append(m.span())
+    for m in _COUNT.finditer(text):
+        if all(m.start() < s or m.start() >= e for s, e in taken):
+            n = m.group(1) or m.group(2) or "1"
+            out.append(("count", NUMBER_WORDS.get(n) or int(n)))
             taken.append(m.span())
-        for m in _COUNT.finditer(text):
-            if free(m.start(), m.start() + 1):
-                n = m.group(1) or m.group(2) or "1"
-                out.setdefault("count", set()).add(NUMBER_WORDS.get(n) or int(n))
-                taken.append(m.span())
+    if digits:
         for m in _UNIT.finditer(text):
-            if free(*m.span()):
-                unit = m.group(2).replace(".", "").replace("floz", "fl oz")
-                kind, factor = UNITS[unit]
-                out.setdefault(kind, set()).add(round(float(m.group(1)) * factor, 1))
-        for w in COLOURS.keys() & set(_LETTERS.findall(text)):
-            out.setdefault("colour", set()).add(COLOURS[w])
+            if all(m.end() <= s or m.start() >= e for s, e in taken):
+                kind, factor = UNITS[m.group(2).replace(".", "").replace("floz", "fl oz")]
+                out.append((kind, round(float(m.group(1)) * factor, 1)))
+    out += [("colour", COLOURS[w]) for w in COLOURS.keys() & set(_LETTERS.findall(text))]
+    return out
+
+
+#: What the parts of features, which many listings share, state; forgotten when it grows large.
+_PARTS: dict[str, list[tuple[str, object]]] = {}
+MOST_PARTS = 1 << 15
+
+
+def attributes(title: str | None, features: str | None, flat: tuple[str, str] | None = None) -> dict[str, set]:
+    """Stated measures (by what they measure), colours, counts and model codes of a listing. flat: both texts through plain(), where known."""
+    out: dict[str, set] = {}
+    name, rest = flat or (plain(title), plain(features))
+    for kind, value in _stated(name):
+        out.setdefault(kind, set()).add(value)
+    for part in rest.split("|"):
+        known = _PARTS.get(part)
+        if known is None:
+            if len(_PARTS) >= MOST_PARTS:
+                _PARTS.clear()
+            known = _PARTS[part] = _stated(part)
+        for kind, value in known:
+            out.setdefault(kind, set()).add(value)
     return out
 
 

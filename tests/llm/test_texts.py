@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from sparkloom.llm.overlaps import cross_split_pairs, overlap_report
+from sparkloom.llm.overlaps import cross_split_pairs, overlap_classes, overlap_report
 from sparkloom.llm.packing import pack, plan
 from sparkloom.llm.products import product_groups, same_product
 from sparkloom.llm.sentences import sentences, split_line
@@ -208,6 +208,36 @@ def test_overlaps(spark):
     assert cross_split_pairs(df.limit(0)).collect() == []
 
 
+def test_overlaps_of_stutters_capital_entities_and_two_swaps(spark):
+    base = "Space Saving Kadoco Storage Basket Sulaboda 12.7 cm"
+    rows = [
+        (1, base, "train"), (2, "Space Space Saving Kadoco Storage Basket Sulaboda 12.7 cm", "val"), (3, "SPACE SAVING KADOCO&NBSP;STORAGE BASKET SULABODA 12.7 CM", "test"),
+        (4, "Kadoco Storage Basket Sulaboda 12.7 Kadoco Storage Basket Sulaboda 12.7 cm", "val"), (5, "Kadoco Stoarge Baskte Sulaboda 12.7 cm", "val"), (6, "Kadoco Stoarge Baskte Sulabdoa 12.7 cm", "val"),
+        (7, "Kadoco Stxrage Bxsket Sulaboda 12.7 cm", "val"),
+    ]
+    df = spark.createDataFrame([(i, t, f"K{i}", s, "C", "h", "t") for i, t, s in rows], CATALOG)
+    assert {(r.eval_id, r.train_id) for r in cross_split_pairs(df).collect()} == {(2, 1), (3, 1), (4, 1), (5, 1)}
+
+
+def test_overlaps_of_a_template(spark, monkeypatch):
+    from sparkloom.llm import overlaps as OV
+
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(120)]
+    rows = [(k, f"Replacement battery for {n} laptops", "train") for k, n in enumerate(names)]
+    rows += [(1000 + k, f"Replacement battery for {n[:3] + n[4] + n[3] + n[5:] if k % 2 else n[1:]} laptops", "val") for k, n in enumerate(names)]
+    df = spark.createDataFrame([(i, t, f"K{i}", s, "C", "h", "t") for i, t, s in rows], CATALOG)
+    plain = {tuple(r) for r in cross_split_pairs(df).collect()}
+    monkeypatch.setattr(OV, "MOST_PAIRS", 10)
+    assert {tuple(r) for r in cross_split_pairs(df).collect()} == plain and len(plain) >= 120
+
+
+def test_overlap_classes_count_copies_without_pairs(spark):
+    df = spark.createDataFrame([(i, "Red  Mug" if i % 2 else "red mug!", f"K{i}", "train" if i < 30 else "val", "C", "h", "t") for i in range(50)] + [(99, None, "K", "val", "C", "h", "t")], CATALOG)
+    got = overlap_classes(df).collect()
+    assert len(got) == 50 and {r.n_train for r in got} == {30} and len({r["class"] for r in got}) == 1
+
+
 def test_overlaps_of_short_titles(spark):
     rows = [
         (1, "Storage Basket", "train"), (2, "Storage Baskte - Top Quality", "val"), (3, "Storge Basket", "test"), (4, "Storrage Basket", "val"), (5, "Storge Baskte", "val"), (6, "Basket Storage", "val"),
