@@ -7,14 +7,17 @@ others too, and what the largest add is the overlap of two bit masks. The others
 expanded in blocks of bounded size and counted in each split before the shuffle.
 
 Null: the bipartite configuration model, whose expected item frequencies and basket sizes
-are the observed ones. All items of equal frequency and all baskets of equal size share a
-parameter, so it is fitted on these classes. The number of baskets with both items is then
+are the observed ones. Items of about equal frequency and baskets of about equal size share
+a parameter, so it is fitted on these classes, whose number is bounded: frequencies and sizes
+up to EXACT are classes of their own, larger ones within a 64th of a power of two (1.1 %) are
+one class at their mean. The number of baskets with both items is then
 Poisson-binomial; its upper tail comes from a saddlepoint, and false discoveries among all
 possible pairs are controlled by the step-up rule on a fine histogram of the tails.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +29,10 @@ from sparkloom.shared import materialize
 
 #: Items of a basket in a block; pairs are counted block by block.
 BLOCK = 512
-#: Pairs that a split holds before it adds them up.
-HELD_PAIRS = 1 << 20
+#: Pairs that a split holds before it adds them up, and numbers of a matrix of pairs and classes.
+HELD_PAIRS, HELD_NUMBERS = 1 << 19, 1 << 18
+#: Frequencies and sizes that are classes of their own, and classes for each doubling beyond.
+EXACT, PER_DOUBLING = 256, 64
 #: Bins of the histogram of -log10(tail), each so wide.
 BINS, WIDTH = 40_000, 0.01
 
@@ -43,9 +48,17 @@ def fit_null(degrees: np.ndarray, n_items: np.ndarray, sizes: np.ndarray, n_bask
         x, y = x_new, y_new
         if moved < 1e-9:
             break
+    else:
+        warnings.warn(f"the null still moved by {moved:.1e} of its parameters after {rounds} rounds", stacklevel=2)
     return x, y
 
 
+def degree_class(d: np.ndarray) -> np.ndarray:
+    """The class of each frequency or size: itself up to EXACT, a share of a doubling beyond."""
+    d = np.asarray(d, np.float64)
+    return np.where(d <= EXACT, d, EXACT + 1 + np.floor(np.log2(np.maximum(d, 1) / EXACT) * PER_DOUBLING)).astype(np.int64)
+
+
 def upper_tail(n: np.ndarray, q: np.ndarray, m: np.ndarray) -> np.ndarray:
     """-log10 P(X >= n) of Poisson-binomial variables: m[k] trials of probability q[i, k] each."""
     from math import log
@@ -195,24 +208,29 @@ def pair_counts(
 def _surprise(pairs: DataFrame, member: DataFrame, n_baskets: int) -> DataFrame:
     """Adds expected, tail and q_value under the null fitted to all items and baskets."""
     spark = pairs.sparkSession
-    classes = lambda key: sorted(  # noqa: E731  # degrees differ, so there are at most sqrt(2 rows) classes
-        (r.d, r.m) for r in member.groupBy(key).agg(F.count("*").alias("d")).groupBy("d").agg(F.count("*").alias("m")).collect()
-    )
+    number = F.when(F.col("d") <= EXACT, F.col("d")).otherwise(EXACT + 1 + F.floor(F.log2(F.col("d") / EXACT) * PER_DOUBLING)).cast("bigint")
+
+    def classes(key: str) -> list[tuple[int, float, int]]:
+        """(class, mean degree, members): at most EXACT + 64 * PER_DOUBLING rows, whatever the data."""
+        degrees = member.groupBy(key).agg(F.count("*").alias("d"))
+        return sorted(tuple(r) for r in degrees.groupBy(number.alias("c")).agg(F.avg("d"), F.count("*")).collect())
+
     by_item, by_basket = classes("item"), classes("u")
     out_type = pairs.schema.simpleString()[7:-1].replace(":", " ") + ", expected double, tail double"
     if not by_item:
         return pairs.select("*", F.lit(0.0).alias("expected"), F.lit(0.0).alias("tail"), F.lit(1.0).alias("q_value"))
-    degrees, n_items = (np.array(x, np.float64) for x in zip(*by_item))
-    sizes, n_of = (np.array(x, np.float64) for x in zip(*by_basket))
+    item_class, degrees, n_items = (np.array(x, np.float64) for x in zip(*by_item))
+    _, sizes, n_of = (np.array(x, np.float64) for x in zip(*by_basket))
     x, y = fit_null(degrees, n_items, sizes, n_of)
-    shared = spark.sparkContext.broadcast((degrees, x, y, n_of))
+    shared = spark.sparkContext.broadcast((item_class.astype(np.int64), x, y, n_of))
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        deg, xs, ys, m = shared.value
+        numbers, xs, ys, m = shared.value
+        step = max(1, HELD_NUMBERS // len(m))
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                n_a, n_b = (np.searchsorted(deg, part.column(c).to_numpy()) for c in ("n_a", "n_b"))
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                n_a, n_b = (np.searchsorted(numbers, degree_class(part.column(c).to_numpy())) for c in ("n_a", "n_b"))
                 pa_, pb_ = (xs[i][:, None] * ys / (1 + xs[i][:, None] * ys) for i in (n_a, n_b))
                 q = pa_ * pb_
                 tail = upper_tail(part.column("n_ab").to_numpy().astype(float), q, m)

@@ -23,15 +23,25 @@ HOT_ROWS = 50_000
 MOST_HOT = 10_000
 
 
+#: Couples of a prefix and an event that are looked at together.
+COUPLES = 1 << 20
+
+
 def extend(
     user: np.ndarray, prefix: np.ndarray, end: np.ndarray, first_event: np.ndarray, n_events: np.ndarray, code: np.ndarray, t: np.ndarray
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All (row of the prefix, event) couples of the same user with the event behind the prefix's end."""
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All (row of the prefix, code, time) of events of the same user behind the prefix's end, in parts of bounded size."""
     n = n_events[user]
-    row = np.repeat(np.arange(len(user)), n)
-    event = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first_event[user], n)
-    keep = t[event] > end[row]
-    return row[keep], code[event[keep]], t[event[keep]]
+    ends = np.cumsum(n)
+    lo = 0
+    while lo < len(user):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + COUPLES, side="right")))
+        m = n[lo:hi]
+        row = np.repeat(np.arange(lo, hi), m)
+        event = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first_event[user[lo:hi]], m)
+        keep = t[event] > end[row]
+        yield row[keep], code[event[keep]], t[event[keep]]
+        lo = hi
 
 
 def _profiles(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -80,19 +90,21 @@ def _level(profiles: DataFrame, items: int, patterns: np.ndarray, last: bool) ->
                 lookup = np.full((len(index[k - 1]), items), -1, np.int64)
                 for p, i in index[k].items():
                     lookup[index[k - 1][p[:-1]], p[-1]] = i
-                row, nc, nt = extend(user, pid, reach, first, n, code, t)
-                nid = lookup[pid[row], nc]
-                ok = nid >= 0
-                row, nid, nt = row[ok], nid[ok], nt[ok]
+                found = [(np.zeros(0, np.int64),) * 3]
+                for row, nc, nt in extend(user, pid, reach, first, n, code, t):
+                    nid = lookup[pid[row], nc]
+                    ok = nid >= 0
+                    found.append((row[ok], nid[ok], nt[ok]))
+                row, nid, nt = (np.concatenate(x) for x in zip(*found))
                 order = np.lexsort((nt, nid, user[row]))
                 row, nid, nt = row[order], nid[order], nt[order]
                 head = np.r_[True, (np.diff(user[row]) != 0) | (np.diff(nid) != 0)] if len(row) else np.array([], bool)
                 user, pid, reach = user[row[head]], nid[head], nt[head]
-            row, nc, _ = extend(user, pid, reach, at, per, c, final)  # last positions behind the ends
-            fresh = (pats[pid[row]] != nc[:, None]).all(axis=1)
-            held.append(_count(pid[row[fresh]] * items + nc[fresh]))
-            if sum(len(k) for k, _ in held) > 1 << 20:
-                held = [_add(held)]
+            for row, nc, _ in extend(user, pid, reach, at, per, c, final):  # last positions behind the ends
+                fresh = (pats[pid[row]] != nc[:, None]).all(axis=1)
+                held.append(_count(pid[row[fresh]] * items + nc[fresh]))
+                if sum(len(k) for k, _ in held) > 1 << 20:
+                    held = [_add(held)]
         keys, counts = _add(held) if held else (np.array([], np.int64), np.array([], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["key", "n"])
 
@@ -139,13 +151,13 @@ def frequent_sequences(
     hot_rows = max(HOT_ROWS, total // MOST_HOT)
     per_user = touched.join(codes, "item").groupBy("u").agg(F.sum("n_rows").alias("r")).filter(F.col("r") > hot_rows).select("u")
     hot = materialize(per_user)
-    events_hot = events.join(F.broadcast(hot), "u")
-    if hot.isEmpty():
-        few = events.groupBy("u", "code", "t").agg(F.lit(1).alias("one")).select("u", "code", "t")
-    else:
-        few = materialize(_reduced(events_hot, length)).select("u", "code", "t")
-        few = few.unionByName(events.join(F.broadcast(hot), "u", "left_anti").groupBy("u", "code", "t").agg(F.lit(1).alias("one")).select("u", "code", "t"))
-    profiles = materialize(few.groupBy("u").agg(F.collect_list(F.struct("code", "t")).alias("events")).select("events"))
+    few = events
+    if not hot.isEmpty():
+        events = materialize(events)  # read twice more
+        few = materialize(_reduced(events.join(F.broadcast(hot), "u"), length)).select("u", "code", "t")
+        few = few.unionByName(events.join(F.broadcast(hot), "u", "left_anti"))
+    # repeated rows go as the sets are built, in each split first
+    profiles = materialize(few.groupBy("u").agg(F.collect_set(F.struct("code", "t")).alias("events")).select("events"))
 
     items = len(frequent)
     patterns = np.arange(items)[:, None]

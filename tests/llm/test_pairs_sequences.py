@@ -87,6 +87,23 @@ def test_pairs_match_brute_force(spark, monkeypatch, block, min_count):
     assert got == brute_pairs(rows, min_count, 1.2) and got
 
 
+def test_classes_of_degrees_are_bounded_and_near():
+    d = np.arange(1, 200_000)
+    c = PR.degree_class(d)
+    assert (np.diff(c) >= 0).all() and (c[:256] == d[:256]).all() and len(np.unique(c)) < 256 + 10 * 64 + 2
+    for k in (300, 5000, 150_000):
+        own = d[c == PR.degree_class(np.array([k]))[0]]
+        assert own.max() <= own.min() * 2 ** (1 / 64) + 1
+
+
+@pytest.mark.parametrize("couples", [1, 7, 1 << 20])
+def test_extensions_in_parts(monkeypatch, couples):
+    monkeypatch.setattr(SQ, "COUPLES", couples)
+    first, n, code, t = np.array([0, 3]), np.array([3, 2]), np.array([1, 2, 3, 1, 2]), np.array([5, 6, 7, 1, 9])
+    got = list(SQ.extend(np.array([0, 1, 0]), np.array([0, 0, 1]), np.array([5, 1, 6]), first, n, code, t))
+    assert sorted(zip(*(np.concatenate(x).tolist() for x in zip(*got)))) == [(0, 2, 6), (0, 3, 7), (1, 2, 9), (2, 3, 7)]
+
+
 def test_pairs_of_an_empty_table(spark):
     df = pair_counts(frame(spark, []))
     assert df.collect() == [] and "q_value" in df.columns
