@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a split gathers before it encodes them; bounds its memory.
 CHUNK_ROWS = 1 << 19
+#: Rows of the table for each array block; bounds the cells that a block gets from all splits together.
+BLOCK_ROWS = 1 << 20
 
 _PARTIAL = (
     "key_field string, block int, key_value array<string>, n_rows array<bigint>, n_rated array<bigint>, "
@@ -106,8 +108,10 @@ def dense_totals(rows: DataFrame, key_fields: list[str], blocks: int | None = No
     """Totals per value of each key field, as TOTALS.
 
     rows needs the key fields (strings), rating, helpful_vote and timestamp_ms; other
-    columns are ignored, whatever their names. blocks: array blocks of each key field,
-    four for each shuffle partition by default, so that a block stays small.
+    columns are ignored, whatever their names. blocks: array blocks of each key field; by
+    default as many as the table has BLOCK_ROWS, and one for each shuffle partition at least,
+    so that a block gets about BLOCK_ROWS cells at most from all splits together even if no
+    key occurs twice.
 
     Null and empty keys are keys like any other. A null rating counts in n_rows but not in
     n_rated; a null helpful_vote counts 0; a key without any timestamp has null first_ms and
@@ -115,7 +119,7 @@ def dense_totals(rows: DataFrame, key_fields: list[str], blocks: int | None = No
     """
     spark = rows.sparkSession
     if blocks is None:
-        blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BLOCK_ROWS))
     slim = rows.select(
         *(F.col(k).cast("string").alias(k) for k in key_fields),
         F.col("rating").cast("double").alias("rating"),

@@ -23,6 +23,15 @@ def test_totals_match_a_plain_count(spark):
     assert (none.n_rows, none.n_rated, none.rating_sum, none.helpful_votes, none.first_ms) == (3, 0, 0.0, 0, None)
 
 
+def test_blocks_follow_the_rows(spark, monkeypatch):
+    from sparkloom.operators import dense_totals as D
+
+    data = [(f"u{i % 90}", f"a{i}", 1.0, 1, i) for i in range(300)]
+    want = {tuple(r) for r in dense_totals(rows(spark, data), ["user_id", "parent_asin"], blocks=1).collect()}
+    monkeypatch.setattr(D, "BLOCK_ROWS", 10)
+    assert {tuple(r) for r in dense_totals(rows(spark, data), ["user_id", "parent_asin"]).collect()} == want and len(want) == 390
+
+
 def test_empty_table(spark):
     assert dense_totals(rows(spark, []), ["user_id"]).collect() == []
     assert heavy_keys(rows(spark, []), ["user_id"]).collect() == []
