@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,3 +50,11 @@ def soft_prompt(weights: list[list[float]], bias: list[float], offsets: list[lis
     """The projected query plus the offset of each position: an array of vectors."""
     p = affine(weights, bias, q)
     return F.array(*(F.zip_with(p, F.array(*(F.lit(float(x)) for x in o)), lambda x, y: x + y) for o in offsets))
+
+
+def rows_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as the rows of a matrix of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))

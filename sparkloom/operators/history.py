@@ -6,13 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.shared import materialize
+
 
 def positions(events: DataFrame, user: str = "user_id", order: tuple[str, ...] = ("timestamp_ms", "ordinal")) -> DataFrame:
-    """Adds position (from 0), n_events and from_end (1 = last) within each user's history."""
-    w = W.partitionBy(user).orderBy(*order)
-    everything = W.partitionBy(user)
-    with_n = events.withColumn("position", F.row_number().over(w).cast("bigint") - 1).withColumn("n_events", F.count("*").over(everything))
-    return with_n.withColumn("from_end", F.col("n_events") - F.col("position"))
+    """Adds position (from 0), n_events and from_end (1 = last) within each user's history.
+
+    Rows are range-partitioned by user and time, so a user of very many rows spans several
+    tasks; what lies ahead of each of these is added from a table that has a row for each
+    partition such a user spans. Users with a null key are one user.
+    """
+    placed = materialize(events.repartitionByRange(user, *order).withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy(user, "_part").agg(F.count("*").alias("_n"))
+    several = counts.groupBy(user).agg(F.count("*").alias("_k"), F.sum("_n").alias("_total"), F.array_sort(F.collect_list(F.struct("_part", "_n"))).alias("_parts")).filter("_k > 1")
+    # ranges meet in at most one user, so all these lists together have at most two entries for each partition
+    earlier = F.expr("aggregate(filter(_parts, p -> p._part < _p._part), 0L, (s, p) -> s + p._n)")
+    spans = several.select(F.col(user).alias("_user"), "_total", F.explode("_parts").alias("_p"), "_parts").select("_user", "_total", F.col("_p._part").alias("_span"), earlier.alias("_ahead"))
+    own = W.partitionBy(user, "_part")
+    local = placed.withColumn("_at", F.row_number().over(own.orderBy(*order)).cast("bigint") - 1).withColumn("_own", F.count("*").over(own))
+    joined = local.join(F.broadcast(spans), F.col(user).eqNullSafe(F.col("_user")) & (F.col("_part") == F.col("_span")), "left")
+    with_n = joined.withColumn("position", F.col("_at") + F.coalesce("_ahead", F.lit(0))).withColumn("n_events", F.coalesce("_total", "_own"))
+    return with_n.select(*events.columns, "position", "n_events", (F.col("n_events") - F.col("position")).alias("from_end"))
 
 
 def with_min_history(events: DataFrame, min_history: int, user: str = "user_id") -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from math import exp
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.functions.vectors import dot, doubles, normalise
+from sparkloom.functions.vectors import dot, doubles, normalise, rows_of
+from sparkloom.shared import materialize
 
 QUERY_BLOCK, ITEM_BLOCK = 4096, 16_384
 
@@ -22,34 +23,36 @@ def mips_topk(queries: DataFrame, catalog: DataFrame, k: int, query_id: str = "q
     is one product of matrices, of which only the block's k best rows leave the task. k is
     clipped to the catalogue.
     """
-    n_q, n_i = queries.count(), catalog.count()
-    parts_q, parts_i = max(1, -(-n_q // QUERY_BLOCK)), max(1, -(-n_i // ITEM_BLOCK))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = queries.select(F.col(query_id).cast("bigint").alias("id"), doubles(F.col(query_vec)).alias("v")).filter("v IS NOT NULL")
     c = catalog.select(F.col(item_id).cast("bigint").alias("id"), doubles(F.col(item_vec)).alias("v")).filter("v IS NOT NULL")
+    q, c = materialize(q), materialize(c)  # counted, and read once for each block of the other side
+    parts_q, parts_i = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-c.count() // ITEM_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = q.withColumn("bq", F.pmod(F.xxhash64("id"), F.lit(parts_q)).cast("int")).withColumn("bi", every(parts_i)).withColumn("asks", F.lit(True))
     c = c.withColumn("bi", F.pmod(F.xxhash64("id"), F.lit(parts_i)).cast("int")).withColumn("bq", every(parts_q)).withColumn("asks", F.lit(False))
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.asks], pdf[~pdf.asks].sort_values("id")
-        none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "item_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(a) or not len(b):
-            return none
-        x, y, ids = np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy()), b.id.to_numpy()
+    def block(t: pa.Table) -> pa.Table:
+        asks, every_id, x = t.column("asks").to_numpy(), t.column("id").to_numpy(), rows_of(t.column("v"))
+        if asks.all() or not asks.any():
+            return pa.table({"query_id": pa.array([], pa.int64()), "item_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
+        b = b[np.argsort(every_id[b])]
+        y, ids = x[b], every_id[b]
         keep = min(k, len(ids))
-        out = []
-        for lo in range(0, len(x), 512):
-            s = x[lo : lo + 512] @ y.T
+        out: list[tuple[np.ndarray, ...]] = []
+        for lo in range(0, len(a), 512):
+            part = a[lo : lo + 512]
+            s = x[part] @ y.T
             edge = np.partition(s, len(ids) - keep, axis=1)[:, len(ids) - keep]
             r, j = np.nonzero(s >= edge[:, None])
             order = np.lexsort((ids[j], -s[r, j], r))
             r, j = r[order], j[order]
             counts = np.bincount(r, minlength=len(s))
             ok = np.arange(len(r)) - np.repeat(np.cumsum(counts) - counts, counts) < keep
-            out.append(pd.DataFrame({"query_id": a.id.to_numpy()[lo + r[ok]], "item_id": ids[j[ok]], "score": s[r[ok], j[ok]]}))
-        return pd.concat(out)
+            out.append((every_id[part[r[ok]]], ids[j[ok]], s[r[ok], j[ok]]))
+        return pa.table(dict(zip(("query_id", "item_id", "score"), (pa.array(np.concatenate(col)) for col in zip(*out)))))
 
-    best = q.unionByName(c).groupBy("bq", "bi").applyInPandas(block, "query_id bigint, item_id bigint, score double")
+    best = q.unionByName(c).groupBy("bq", "bi").applyInArrow(block, "query_id bigint, item_id bigint, score double")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
