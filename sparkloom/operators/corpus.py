@@ -62,3 +62,31 @@ def search_queries(embeddings: DataFrame, item2feat: DataFrame) -> DataFrame:
     """(query_id, q, sid_0..): an item's own vector asks for its own codes; null vectors ask nothing."""
     codes = code_columns(item2feat)
     return embeddings.filter("embedding IS NOT NULL").join(item2feat.dropna(subset=codes), "item_id").select(F.col("item_id").alias("query_id"), F.col("embedding").alias("q"), *codes)
+
+
+def behaviour_only(corpus: DataFrame) -> DataFrame:
+    """(input_text, target_text) of the corpus's behaviour rows; a corpus without kinds is all behaviour."""
+    rows = corpus.filter(F.col("seq_type") == "behavior") if "seq_type" in corpus.columns else corpus
+    return rows.select("input_text", "target_text")
+
+
+def rows_at(corpus: DataFrame, ordinals: list[int], ordinal: str = "ordinal") -> DataFrame:
+    """The rows of these ordinals, in a table sorted by them; the filter reaches the scan, so other row groups stay unread."""
+    return corpus.filter(F.col(ordinal).isin(ordinals))
+
+
+def trace_row(corpus: DataFrame, kind: str, order: list[str], max_input: int = 512, max_target: int = 16) -> DataFrame:
+    """(step, value) of the first row of one kind, in the order given: its texts, its codes, and the lengths that training cuts.
+
+    Input words and target tokens stand for a model's tokens.
+    """
+    one = corpus.filter(F.col("seq_type") == kind).orderBy(*order).limit(1)
+    tokens = F.regexp_extract_all("target_text", F.lit("<[a-z0-9_]+>"), F.lit(0))
+    words = F.split("input_text", " ")
+    text = lambda c: c.cast("string")
+    steps = [
+        ("input_text", F.col("input_text")), ("target_text", F.col("target_text")), ("codes", F.array_join(F.transform(X.parse_sids(F.col("target_text")), text), " ")),
+        ("input_words", text(F.size(words))), ("kept_words", text(F.least(F.size(words), F.lit(max_input)))), ("target_tokens", text(F.size(tokens))),
+        ("kept_tokens", text(F.least(F.size(tokens), F.lit(max_target)))), ("ends", text(F.element_at(tokens, -1) == X.SID_EOS)),
+    ]
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("step"), c.alias("value")) for n, c in steps))).alias("s")).select("s.*")

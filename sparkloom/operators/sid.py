@@ -52,6 +52,19 @@ def trie_levels(item2feat: DataFrame) -> list[DataFrame]:
     return [item2feat.select(*names[: k + 1]).dropna().distinct() for k in range(len(names))]
 
 
+def store_index(item2feat: DataFrame, folder: str) -> None:
+    """Writes the prefix tables and the lookup as Parquet tables of one folder."""
+    for k, level in enumerate(trie_levels(item2feat)):
+        level.write.mode("overwrite").parquet(f"{folder}/prefixes_{k + 1}")
+    sid_to_item(item2feat).write.mode("overwrite").parquet(f"{folder}/lookup")
+
+
+def load_index(spark, folder: str) -> tuple[list[DataFrame], DataFrame]:
+    """The prefix tables and the lookup of a folder; the lookup's codes tell the number of levels."""
+    lookup = spark.read.parquet(f"{folder}/lookup")
+    return [spark.read.parquet(f"{folder}/prefixes_{k + 1}") for k in range(len(code_columns(lookup)))], lookup
+
+
 def children(trie: list[DataFrame], prefixes: DataFrame) -> DataFrame:
     """Prefixes (sid_0.. of one length) with each code that may follow; unknown prefixes give none."""
     names = code_columns(prefixes)

@@ -51,6 +51,12 @@ def stratified_sample(spark, folder):
     return P.sample_per_stratum(table(spark, folder, "events").select("event_type", "event_id"), "event_type", "event_id", 20, 42)
 
 
+def sampled_items(spark, folder):
+    """300 items with an image by seeded hash, in its order."""
+    rows = table(spark, folder, "catalog").filter("has_image").select("item_id")
+    return P.shuffled(P.sample_exact(rows, "item_id", 300, 7), "item_id", 7, "place")
+
+
 def shuffled_items(spark, folder):
     """U7."""
     return P.shuffled(table(spark, folder, "catalog").select("item_id"), "item_id", 42)
@@ -81,17 +87,24 @@ def stratified_batches(spark, folder):
     return B.uniform_batches(_slots(spark, folder), 16, 42, 1).select("item_id", "mode", "batch_id", "place")
 
 
+def ragged_batches(spark, folder):
+    """The same with the last, smaller batches."""
+    return B.uniform_batches(_slots(spark, folder), 16, 42, 1, drop_last=False).select("item_id", "mode", "batch_id", "place")
+
+
 def mixed_batches(spark, folder):
-    """No batch mixes modes; the count of those that do is 0."""
-    bad = B.mixed_batches(B.uniform_batches(_slots(spark, folder), 16, 42, 1))
-    return bad.agg(F.count("*").alias("n_mixed"))
+    """Batches that mix modes, among the uniform ones (none) and among plain cuts of 15 of the alternating order (all)."""
+    slots = _slots(spark, folder)
+    plain = slots.withColumn("batch_id", F.floor(F.col("ordinal") / 15))
+    count = lambda df, kind: B.mixed_batches(df).agg(F.lit(kind).alias("kind"), F.count("*").alias("n_mixed"))
+    return count(B.uniform_batches(slots, 16, 42, 1), "uniform").unionByName(count(plain, "plain"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         history_positions, purchase_positions, min_history_users, last_events, ordered_chains, sampled_users, stratified_sample, shuffled_items, tail_split, first_rows,
-        paired_examples, stratified_batches, mixed_batches,
+        sampled_items, paired_examples, stratified_batches, ragged_batches, mixed_batches,
     )
 }
 _E = f"WITH e AS ({EVENTS}) "
@@ -126,5 +139,11 @@ SELECT item_id, CASE WHEN i >= n - greatest(1, floor(n * 0.01)) THEN 'val' ELSE
     "first_rows": "SELECT item_id FROM catalog ORDER BY md5('42:' || item_id), item_id LIMIT 100",
     "paired_examples": _PAIRED + " SELECT * FROM p",
     "stratified_batches": _BATCH + " SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY batch_id) = 16",
-    "mixed_batches": "SELECT CAST(0 AS BIGINT) AS n_mixed",
+    "ragged_batches": _BATCH + " SELECT * FROM g",
+    "mixed_batches": _BATCH + """
+SELECT 'uniform' AS kind, (SELECT count(*) FROM (SELECT batch_id FROM g GROUP BY 1 HAVING count(DISTINCT mode) > 1)) AS n_mixed
+UNION ALL SELECT 'plain', (SELECT count(*) FROM (SELECT ordinal // 15 FROM p GROUP BY 1 HAVING count(DISTINCT mode) > 1))""",
+    "sampled_items": """
+WITH s AS (SELECT item_id FROM catalog WHERE has_image ORDER BY md5('7:' || item_id), item_id LIMIT 300)
+SELECT item_id, row_number() OVER (ORDER BY md5('7:' || item_id), item_id) - 1 AS place FROM s""",
 }

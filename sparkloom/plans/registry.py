@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("key_totals", "text_plans", "catalog_plans", "history_plans", "sid_plans", "vector_plans", "beam_plans", "schedule_plans")
+MODULES = ("key_totals", "text_plans", "catalog_plans", "history_plans", "sid_plans", "vector_plans", "beam_plans", "schedule_plans", "source_plans")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -21,10 +21,26 @@ def sid_reconstruction(spark, folder):
     return Q.reconstruction(Q.assign(vectors(spark, folder), codebooks(spark, folder)), 64).select(F.round("mse", 6).alias("mse"), F.round("commitment_loss", 6).alias("commitment_loss"))
 
 
+def ema_codebooks(spark, folder):
+    """The codebooks after one step over all vectors by moving averages, each code's first component and length, and the step's losses."""
+    v = vectors(spark, folder)
+    books, history = Q.train(v, codebooks(spark, folder), epochs=1, batches=1)
+    rows = [(level, code, float(c[0]), float(np.linalg.norm(c))) for level, b in enumerate(books) for code, c in enumerate(b)]
+    losses = spark.createDataFrame(history, "epoch int, mse double, commitment_loss double")
+    out = spark.createDataFrame(rows, "level int, code int, first double, length double").crossJoin(F.broadcast(losses))
+    return out.select("level", "code", "epoch", *(F.round(c, 6).alias(c) for c in ("first", "length", "mse", "commitment_loss")))
+
+
+def ema_training(spark, folder):
+    """Losses of five epochs of four batches each; no SQL."""
+    _, history = Q.train(vectors(spark, folder), codebooks(spark, folder), epochs=5, batches=4, decay=0.9)
+    return spark.createDataFrame(history, "epoch int, mse double, commitment_loss double")
+
+
 def kmeans_codebooks(spark, folder):
-    """Q1, Q4: trained codebooks and what they leave; no SQL."""
+    """Q1, Q4: codebooks of 1,024 codes a level, or as many as there are residuals, and what they leave; no SQL."""
     v = vectors(spark, folder)
-    books = Q.fit(v, levels=4, codes=16, seed=42)
+    books = Q.fit(v, levels=4, codes=1024, seed=42)
     got = Q.assign(v, books)
     sizes = spark.createDataFrame([(k, len(b), float(np.linalg.norm(b, axis=1).mean())) for k, b in enumerate(books)], "level int, n_codes int, mean_norm double")
     return sizes.crossJoin(F.broadcast(Q.reconstruction(got, 64)))
@@ -99,7 +115,7 @@ def trie_masked_logits(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        sid_assign, sid_reconstruction, kmeans_codebooks, sid_join, items_with_sids, sid_lookup, sid_collisions, collision_stats, codebook_usage, largest_collisions,
+        sid_assign, sid_reconstruction, ema_codebooks, ema_training, kmeans_codebooks, sid_join, items_with_sids, sid_lookup, sid_collisions, collision_stats, codebook_usage, largest_collisions,
         trie_levels, trie_membership, trie_children, trie_masked_logits,
     )
 }
@@ -108,6 +124,15 @@ _CHILD = f", ch AS (SELECT sid_0, sid_1, list(sid_2 ORDER BY sid_2) AS codes FRO
 SQL = {
     "sid_assign": SID + f" SELECT item_id, {S4} FROM item2feat",
     "sid_reconstruction": SID + " SELECT round(avg(error) / 64, 6) AS mse, round(0.25 * avg(error) / 64, 6) AS commitment_loss FROM item2feat",
+    "ema_codebooks": SID + ", z AS (" + " UNION ALL ".join(
+        f"SELECT {k} AS level, code, list(x ORDER BY i) AS s, any_value(n) AS n FROM (SELECT code, i, sum(x) AS x, count(*) AS n FROM "
+        f"(SELECT sid_{k} AS code, unnest(r) AS x, generate_subscripts(r, 1) AS i FROM (SELECT a{k}.sid_{k}, r{k}.r FROM a{k} JOIN r{k} USING (item_id))) GROUP BY 1, 2) GROUP BY code" for k in range(4)
+    ) + "), b AS (" + " UNION ALL ".join(f"SELECT {k} AS level, code, c FROM book_{k}" for k in range(4)) + f"""),
+m AS (SELECT b.level, b.code, 0.99 + 0.01 * coalesce(n, 0) AS n, CASE WHEN s IS NULL THEN [0.99 * y FOR y IN c] ELSE [0.99 * p[1] + 0.01 * p[2] FOR p IN list_zip(c, s)] END AS t FROM b LEFT JOIN z USING (level, code)),
+e AS (SELECT level, code, t, n, sum(n) OVER (PARTITION BY level) AS every FROM m),
+w AS (SELECT level, code, [y / ((n + 1e-5) / (every + {CODES} * 1e-5) * every) FOR y IN t] AS v FROM e)
+SELECT level, code, 1 AS epoch, round(v[1], 6) AS first, round(sqrt(list_inner_product(v, v)), 6) AS length,
+       (SELECT round(avg(error) / 64, 6) FROM item2feat) AS mse, (SELECT round(0.25 * avg(error) / 64, 6) FROM item2feat) AS commitment_loss FROM w""",
     "sid_join": SID + f" SELECT p_partkey AS item_id, p_name, {S4} FROM part LEFT JOIN item2feat ON p_partkey = item_id",
     "items_with_sids": SID + f" SELECT p_partkey AS item_id, p_name, {S4} FROM part JOIN item2feat ON p_partkey = item_id",
     "sid_lookup": SID + f" SELECT {S4}, min(item_id) AS item_id FROM item2feat GROUP BY {S4}",

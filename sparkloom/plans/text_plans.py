@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
+from sparkloom.operators import corpus as K
+from sparkloom.operators import history as H
 from sparkloom.operators import sid as S
-from sparkloom.plans.common import S4, SID, SPACE, sids
+from sparkloom.plans.common import EVENTS, SID, SPACE, events, sids
 from sparkloom.plans.registry import table
 
 
@@ -64,10 +66,19 @@ def prompt_periods(spark, folder):
     return table(spark, folder, "catalog").select("item_id", X.end_with_period(F.coalesce("description", F.lit(""))).alias("prompt"))
 
 
+#: The first added token, the padding and end tokens behind the codes' tokens, and the lengths that training cuts at.
+FIRST_TOKEN, PAD_TOKEN, EOS_TOKEN, MAX_INPUT, MAX_TARGET = 32_100, 33_124, 33_125, 512, 16
+
+
 def label_masks(spark, folder):
-    """Labels of code arrays with 0 as padding, cut at 3, and inputs padded to 6."""
-    ids = F.array(*(F.col(f"sid_{i}").cast("int") for i in range(4)))
-    return sids(spark, folder).select("item_id", X.mask_labels(ids, 0, 3).alias("labels"), X.pad_to(ids, 0, 6).alias("input_ids"))
+    """Inputs of all codes of a user's last 150 items, cut and padded, and labels of the last item's codes with masked padding."""
+    chained = H.chains(K.events_with_sids(events(spark, folder), sids(spark, folder)), "sid", 150, min_length=2)
+    tokens = lambda c: F.transform(c, lambda x: (x + FIRST_TOKEN).cast("int"))
+    target = F.concat(tokens(F.element_at("chain", -1)), F.array(F.lit(EOS_TOKEN)))
+    return chained.select(
+        "user_id", X.pad_to(tokens(F.flatten("chain")), PAD_TOKEN, MAX_INPUT).alias("input_ids"), X.mask_labels(X.pad_to(target, PAD_TOKEN, MAX_TARGET), PAD_TOKEN, MAX_TARGET).alias("labels"),
+        F.least(4 * F.size("chain"), F.lit(MAX_INPUT)).alias("n_input"),
+    )
 
 
 def token_vocabulary(spark, folder):
@@ -92,8 +103,10 @@ FROM (SELECT *, '<sid_' || sid_0 || '><sid_' || sid_1 || '><sid_' || sid_2 || '>
     "shard_paths": "SELECT item_id, 'images/' || printf('%03d', CASE WHEN item_id < 1000 THEN item_id ELSE item_id // 1000 END) || '/' || item_id || '.jpg' AS path FROM catalog",
     "first_elements": "SELECT item_id, [x FOR x IN categories IF contains(x, '&')][1] AS with_and, coalesce(categories[2], '') AS second FROM catalog",
     "prompt_periods": "SELECT item_id, CASE WHEN ends_with(coalesce(description, ''), '.') THEN description ELSE coalesce(description, '') || '.' END AS prompt FROM catalog",
-    "label_masks": SID + """
-SELECT item_id, [CASE WHEN x = 0 THEN -100 ELSE x END FOR x IN [sid_0, sid_1, sid_2]] AS labels, [sid_0, sid_1, sid_2, sid_3, 0, 0] AS input_ids FROM item2feat""",
+    "label_masks": SID + f""", e AS ({EVENTS}), h AS (SELECT e.*, sid_0, sid_1, sid_2, sid_3, row_number() OVER (PARTITION BY user_id ORDER BY timestamp_ms DESC, ordinal DESC) AS f FROM e JOIN item2feat USING (item_id)),
+c AS (SELECT user_id, flatten(list([sid_0, sid_1, sid_2, sid_3] ORDER BY timestamp_ms, ordinal)) AS ids, count(*) AS n FROM h WHERE f <= 150 GROUP BY 1 HAVING count(*) >= 2)
+SELECT user_id, list_resize([CAST(x + {FIRST_TOKEN} AS INT) FOR x IN ids][1:{MAX_INPUT}], {MAX_INPUT}, {PAD_TOKEN}) AS input_ids,
+       list_resize(list_concat([CAST(x + {FIRST_TOKEN} AS INT) FOR x IN ids[-4:]], [{EOS_TOKEN}]), {MAX_TARGET}, -100) AS labels, CAST(least(4 * n, {MAX_INPUT}) AS INT) AS n_input FROM c""",
     "token_vocabulary": """
 SELECT '<sid_' || i || '>' AS token, i + 32100 AS token_id, i AS code FROM range(1024) t(i)
 UNION ALL SELECT * FROM (VALUES ('<sid_pad>', 33124, NULL), ('<sid_eos>', 33125, NULL), ('<seq>', 33126, NULL), ('<search>', 33127, NULL)) v(token, token_id, code)""",

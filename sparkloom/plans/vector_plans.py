@@ -35,10 +35,14 @@ def _ranked(spark, folder):
     return I.mips_topk(q, vectors(spark, folder), 100)
 
 
+def _rounded(v):
+    """Components to six decimals, without a negative zero."""
+    return F.transform(v, lambda x: F.round(x, 6) + F.lit(0.0))
+
+
 def history_vectors(spark, folder):
-    """The first component and the length of each user's vector, rounded."""
-    q = _user_vectors(spark, folder)
-    return q.select("user_id", F.round(F.col("q")[0], 6).alias("first"), F.round(V.norm(F.col("q")), 6).alias("length"))
+    """Each user's vector, rounded."""
+    return _user_vectors(spark, folder).select("user_id", _rounded(F.col("q")).alias("q"))
 
 
 def mips_topk(spark, folder):
@@ -57,11 +61,11 @@ def random_baseline(spark, folder):
 
 
 def fused_vectors(spark, folder):
-    """Each vector fused with the next one, first component and length."""
+    """Each vector fused with the next one, rounded."""
     v = vectors(spark, folder)
     nxt = v.select((F.col("item_id") - 1).alias("item_id"), F.col("embedding").alias("other"))
     f = v.join(nxt, "item_id").select("item_id", V.fuse(F.col("embedding"), F.col("other")).alias("f"))
-    return f.select("item_id", F.round(F.col("f")[0], 6).alias("first"), F.round(V.norm(F.col("f")), 6).alias("length"))
+    return f.select("item_id", _rounded(F.col("f")).alias("f"))
 
 
 def soft_prompts(spark, folder):
@@ -141,7 +145,7 @@ _BOX = """
 WITH b AS (SELECT event_id % 97 AS image_id, ((event_id * 7919) % 1009) / 1009 AS score, CAST(event_id % 53 - 10 AS DOUBLE) AS x0, CAST(event_id % 47 - 10 AS DOUBLE) AS y0,
            CAST(event_id % 53 - 10 + event_id % 31 AS DOUBLE) AS x1, CAST(event_id % 47 - 10 + event_id % 29 AS DOUBLE) AS y1 FROM events)"""
 SQL = {
-    "history_vectors": _USERS + " SELECT user_id, round(q[1], 6) AS first, round(sqrt(list_inner_product(q, q)), 6) AS length FROM q",
+    "history_vectors": _USERS + " SELECT user_id, [round(y, 6) + 0.0 FOR y IN q] AS q FROM q",
     "mips_topk": _USERS + " SELECT query_id, rank, item_id FROM k WHERE rank <= 10",
     "mips_metrics": _USERS + ", r AS (SELECT t.query_id, min(rank) AS hit FROM t LEFT JOIN k ON k.query_id = t.query_id AND k.item_id = t.target GROUP BY 1) " + " UNION ALL ".join(
         f"SELECT 'recall@{n}' AS metric, round(avg(CASE WHEN hit <= {n} THEN 1.0::DOUBLE ELSE 0 END), 6) AS value FROM r UNION ALL "
@@ -152,7 +156,7 @@ SQL = {
 WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 m AS (SELECT a.id, [(p[1] + p[2]) / 2 FOR p IN list_zip(a.x, b.x)] AS m FROM v a JOIN v b ON b.id = a.id + 1),
 f AS (SELECT id, [y / (sqrt(list_inner_product(m, m)) + 1e-9) FOR y IN m] AS f FROM m)
-SELECT id AS item_id, round(f[1], 6) AS first, round(sqrt(list_inner_product(f, f)), 6) AS length FROM f""",
+SELECT id AS item_id, [round(y, 6) + 0.0 FOR y IN f] AS f FROM f""",
     "soft_prompts": """
 WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 w AS (SELECT id, list_inner_product(x, [CAST(i % 3 - 1 AS DOUBLE) FOR i IN range(64)]) + 0.5 AS a, list_inner_product(x, [CAST((i + 1) % 3 - 1 AS DOUBLE) FOR i IN range(64)]) - 0.5 AS b FROM v)

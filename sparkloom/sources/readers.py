@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,12 @@ def project_reviews(raw: DataFrame) -> DataFrame:
     )
 
 
+def read_reviews(spark: SparkSession, path: str | list[str], items: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Interactions of known items from (compressed) JSON lines of reviews; what is no JSON is skipped."""
+    rows = project_reviews(read_json_lines(spark, path, "raw_review", partitions))
+    return rows.join(items.select("parent_asin").distinct(), "parent_asin", "left_semi")
+
+
 def read_table(spark: SparkSession, path: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """A stage table, checked; only the named columns are read."""
     df = schemas.check(spark.read.parquet(path), name)
@@ -68,17 +75,22 @@ def add_file_flags(items: DataFrame, files: DataFrame, path_col: str, least_byte
     return flagged.withColumn(path_col, F.when(F.col("has_image"), F.col(path_col)).otherwise(F.lit("")))
 
 
-def fetch_files(todo: DataFrame, fetch: Callable[[str], tuple[int, bytes]], url_col: str = "url", attempts: int = 3, least_bytes: int = 100) -> DataFrame:
-    """todo with (ok, reason, body): each URL fetched in its partition, again after server errors and exceptions.
+def fetch_files(
+    todo: DataFrame, fetch: Callable[[str], tuple[int, bytes]], url_col: str = "url", attempts: int = 3, least_bytes: int = 100, in_flight: int = 32, backoff: float = 1.5
+) -> DataFrame:
+    """todo with (ok, reason, body): each URL fetched in its partition, several at a time, again after server errors and exceptions.
 
-    fetch gives (status, body). Statuses from 500 are tried again, other errors and short
-    bodies fail at once. Nothing is fetched before an action runs.
+    fetch gives (status, body). Statuses from 500 are tried again, after backoff to the power
+    of the attempts so far in seconds; other errors and short bodies fail at once. At most
+    in_flight fetches of a partition run together. Nothing is fetched before an action runs.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in todo.schema) + ", ok boolean, reason string, body binary"
 
     def one(url: str | None) -> tuple[bool, str, bytes | None]:
         reason = "no url"
-        for _ in range(attempts if url else 0):
+        for attempt in range(attempts if url else 0):
+            if attempt and backoff:
+                time.sleep(backoff ** (attempt - 1))
             try:
                 status, body = fetch(url)
             except Exception as e:  # noqa: BLE001  # any client error is tried again
@@ -94,9 +106,30 @@ def fetch_files(todo: DataFrame, fetch: Callable[[str], tuple[int, bytes]], url_
                 return True, "", body
         return False, reason, None
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [one(u) for u in pdf[url_col]]
-            yield pdf.assign(ok=[g[0] for g in got], reason=[g[1] for g in got], body=[g[2] for g in got])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(max(1, in_flight)) as pool:
+            for b in batches:
+                for at in range(0, b.num_rows, 4 * in_flight):  # bodies of a bounded number of files are held
+                    part = b.slice(at, 4 * in_flight)
+                    got = list(pool.map(one, part.column(part.schema.get_field_index(url_col)).to_pylist()))
+                    flags = [pa.array([g[0] for g in got]), pa.array([g[1] for g in got]), pa.array([g[2] for g in got], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *flags], [*part.schema.names, "ok", "reason", "body"])
+
+    return todo.mapInArrow(work, fields)
 
-    return todo.mapInPandas(work, fields)
+
+def decode_images(items: DataFrame, folder: str, path_col: str, size: int = 224) -> DataFrame:
+    """Adds image (height, width, n_channels, data) and placeholder: the decoded file of path_col, which lies below folder.
+
+    Files are decoded in the JVM; data holds rows of pixels, blue first. An item without a
+    file, or with one that is no image, gets a grey square of that size and placeholder true,
+    so that batches keep their size.
+    """
+    spark = items.sparkSession
+    read = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(folder).select("image.*").filter("height > 0")
+    files = read.select(F.regexp_replace("origin", "^file:(//)?", "").alias(path_col), F.struct("height", "width", F.col("nChannels").alias("n_channels"), "data").alias("_image"))
+    grey = F.struct(F.lit(size).alias("height"), F.lit(size).alias("width"), F.lit(3).alias("n_channels"), F.unhex(F.repeat(F.lit("80"), size * size * 3)).alias("data"))
+    joined = items.join(files, path_col, "left")
+    return joined.withColumn("placeholder", F.col("_image").isNull()).withColumn("image", F.coalesce("_image", grey)).drop("_image")

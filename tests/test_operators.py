@@ -151,14 +151,16 @@ def test_trie(spark):
     assert sorted(r.sid_2 for r in kids) == [2, 4]
 
 
-def test_beam_search_gives_nearest_paths_and_pads_nothing(spark):
+def test_beam_search_gives_nearest_paths_and_fills_with_misses(spark):
     import numpy as np
 
     books = [np.eye(10)[:10] * s for s in (1.0, 0.5, 0.25, 0.125)]
     r = BM.Retriever.of(item2feat(spark), BM.quantiser_scorer(spark, books), 10)
     q = (np.eye(10)[0] + np.eye(10)[1] * 0.5 + np.eye(10)[2] * 0.25 + np.eye(10)[3] * 0.125).tolist()
     got = r.search(spark.createDataFrame([(7, q)], "query_id bigint, state array<double>"), k=10).orderBy("rank").collect()
-    assert len(got) == 3 and got[0].item_id == 1000 and all(x.item_id >= 0 for x in got)
+    assert len(got) == 10 and got[0].item_id == 1000 and [x.item_id >= 0 for x in got] == [True] * 3 + [False] * 7
+    assert all(x.score > -1e8 for x in got[:3]) and all(x.score < -1e8 for x in got[3:])
+    assert len(r.search(spark.createDataFrame([(7, q)], "query_id bigint, state array<double>"), k=2, beams=2).collect()) == 2
     free = r.search(spark.createDataFrame([(7, q)], "query_id bigint, state array<double>"), k=10, constrained=False).collect()
     assert len(free) == 10 and any(x.item_id == -1 for x in free)
     with pytest.raises(ValueError):
@@ -166,6 +168,62 @@ def test_beam_search_gives_nearest_paths_and_pads_nothing(spark):
     assert BM.check_beams(10, [5, 50]) == 50
 
 
+def test_mask_of_known_dead_and_late_slots(spark):
+    """A known prefix allows its children, one that no item has allows every code, and so does the fifth slot."""
+    t = S.trie_levels(item2feat(spark))
+    allowed = lambda rows, slot: {tuple(r)[:slot]: r.n for r in BM.mask_slots(spark.createDataFrame(rows, ", ".join(f"sid_{i} bigint" for i in range(slot))), t, 10, slot).groupBy(*[f"sid_{i}" for i in range(slot)]).agg(F.count_if(~F.col("blocked")).alias("n")).collect()}
+    assert allowed([(0, 1), (6, 7), (0, 9), (5, 5)], 2) == {(0, 1): 2, (6, 7): 1, (0, 9): 10, (5, 5): 10}
+    assert allowed([(0, 1, 2, 3), (9, 9, 9, 9)], 4) == {(0, 1, 2, 3): 10, (9, 9, 9, 9): 10}
+
+
+def test_search_from_text(spark):
+    f = item2feat(spark).filter("item_id <> 999")
+    texts = {1000: ["red", "pan"], 1001: ["blue", "pan"], 1002: ["desk", "lamp"]}
+    words = spark.createDataFrame(list(texts.items()), "item_id bigint, words array<string>")
+    r = BM.Retriever.of(f, BM.text_scorer(words.join(f, "item_id").drop("item_id"), 10), 10)
+    q = spark.createDataFrame([(1, ["blue", "pan"]), (2, ["lamp"]), (3, ["red", "unknown"]), (4, [])], "query_id bigint, state array<string>")
+    top = {x.query_id: x.item_id for x in r.search(q, k=1, beams=2).filter("rank = 1").collect()}
+    assert (top[1], top[2], top[3]) == (1001, 1002, 1000) and top[4] in texts
+    m = {x.metric: x.value for x in r.evaluate(q, spark.createDataFrame([(1, 1001), (2, 1000)], "query_id bigint, target bigint"), [1, 3], beams=1).collect()}
+    assert m["recall@1"] == 0.5 and m["recall@3"] == 1.0
+
+
+def test_stored_index_and_corpus_rows(spark, tmp_path):
+    S.store_index(item2feat(spark), str(tmp_path))
+    trie, lookup = S.load_index(spark, str(tmp_path))
+    assert [x.count() for x in trie] == [2, 2, 3, 3] and lookup.count() == 3
+    c = spark.createDataFrame([("behavior", "a", "b", 0), ("metadata", "c d", "<sid_1><sid_2><sid_3><sid_4><sid_eos>", 1)], "seq_type string, input_text string, target_text string, ordinal bigint")
+    assert [tuple(r) for r in K.behaviour_only(c).collect()] == [("a", "b")] and K.behaviour_only(c.drop("seq_type")).count() == 2
+    assert [r.input_text for r in K.rows_at(c, [1, 9]).collect()] == ["c d"]
+    t = {r.step: r.value for r in K.trace_row(c, "metadata", ["ordinal"], max_target=3).collect()}
+    assert (t["codes"], t["input_words"], t["target_tokens"], t["kept_tokens"], t["ends"]) == ("1 2 3 4", "2", "5", "3", "true")
+
+
+def test_training_by_moving_averages(spark):
+    """Two codes in one dimension: counts and sums move by 1 - decay, losses are those before the step."""
+    import numpy as np
+
+    df = spark.createDataFrame([(i, [v]) for i, v in enumerate((1.0, 3.0, 11.0))] + [(9, None)], "item_id bigint, embedding array<double>")
+    books, history = Q.train(df, [np.array([[0.0], [10.0]]), np.array([[0.0], [1.0]])], decay=0.5, epsilon=0.0)
+    # level 0: 1 and 3 go to code 0, 11 to code 1; residuals 1, 3, 1 all go to code 1 of level 1
+    assert np.allclose(books[0].ravel(), [(0.5 * 0 + 0.5 * 4) / (0.5 + 1.0), (0.5 * 10 + 0.5 * 11) / (0.5 + 0.5)])
+    assert np.allclose(books[1].ravel(), [0.0, (0.5 * 1 + 0.5 * 5) / (0.5 + 1.5)])
+    assert np.allclose(history, [(1, 4 / 3, 1 / 3)])
+    _, longer = Q.train(df, books, epochs=4, batches=1, decay=0.5)
+    assert len(longer) == 4 and longer[-1][1] < history[0][1] and longer[0][0] == 1
+    seeded = Q.seeded_codebooks(df.filter("item_id < 3"), 1, 2, "item_id", "embedding")
+    assert np.allclose(seeded[0].ravel(), [1.0, 7.0])
+
+
+def test_positions_of_a_hot_user(spark):
+    rows = [("hot", f"i{k}", (k * 37) % 500, k) for k in range(500)] + [("cold", "x", 5, 1), ("cold", "y", 5, 0), (None, "n", 1, 0), (None, "m", 2, 0)]
+    df = spark.createDataFrame(rows, "user_id string, item string, timestamp_ms bigint, ordinal bigint").repartition(5)
+    got = {(r.user_id, r.item): (r.position, r.n_events, r.from_end) for r in H.positions(df).collect()}
+    order = sorted((r for r in rows if r[0] == "hot"), key=lambda r: (r[2], r[3]))
+    assert all(got[("hot", r[1])] == (k, 500, 500 - k) for k, r in enumerate(order))
+    assert got[("cold", "y")] == (0, 2, 2) and got[("cold", "x")] == (1, 2, 1) and got[(None, "m")] == (1, 2, 1)
+
+
 def test_quantiser(spark):
     import numpy as np
 

@@ -41,10 +41,42 @@ def test_fetch_retries_server_errors_only(spark):
         return {"gone": (404, b""), "busy": (503, b""), "short": (200, b"x")}[url]
 
     todo = spark.createDataFrame([("ok",), ("boom",), ("gone",), ("busy",), ("short",), (None,)], "url string")
-    got = {r.url: (r.ok, r.reason) for r in R.fetch_files(todo, fetch).collect()}
+    got = {r.url: (r.ok, r.reason) for r in R.fetch_files(todo, fetch, backoff=0).collect()}
     assert got == {"ok": (True, ""), "boom": (False, "TimeoutError"), "gone": (False, "http 404"), "busy": (False, "http 503"), "short": (False, "short body"), None: (False, "no url")}
 
 
+def test_fetches_run_together_and_wait_longer_each_time(spark):
+    import time
+
+    def slow(url):
+        time.sleep(0.4)
+        return 200, b"x" * 200
+
+    began = time.time()
+    todo = spark.createDataFrame([(str(i),) for i in range(40)], "url string").coalesce(1)
+    assert R.fetch_files(todo, slow, in_flight=20).filter("ok").count() == 40 and time.time() - began < 10
+    busy = spark.createDataFrame([("u",)], "url string")
+    began = time.time()
+    assert R.fetch_files(busy, lambda u: (503, b""), attempts=3, backoff=1.5).first().reason == "http 503" and time.time() - began >= 2.5
+
+
+def test_images_decode_or_become_grey(spark, tmp_path):
+    import struct
+    import zlib
+
+    def png(w, h, rgb):
+        chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress((b"\0" + bytes(rgb) * w) * h)) + chunk(b"IEND", b"")
+
+    (tmp_path / "a.jpg").write_bytes(png(3, 2, (10, 20, 30)))
+    (tmp_path / "b.jpg").write_bytes(b"<html>gone</html>" * 20)
+    items = spark.createDataFrame([(i, str(tmp_path / f"{n}.jpg")) for i, n in enumerate("abc")], "item_id int, path string")
+    got = {r.item_id: r for r in R.decode_images(items, str(tmp_path), "path", 4).collect()}
+    a = got[0].image
+    assert (a.height, a.width, a.n_channels, bytes(a.data), got[0].placeholder) == (2, 3, 3, bytes((30, 20, 10)) * 6, False)
+    assert all((got[i].image.height, set(got[i].image.data), len(got[i].image.data), got[i].placeholder) == (4, {128}, 48, True) for i in (1, 2))
+
+
 def test_sinks(spark, tmp_path):
     df = spark.range(3)
     assert W.write_if_rows(df, str(tmp_path / "t")) and not W.write_if_rows(df.limit(0), str(tmp_path / "none"))
