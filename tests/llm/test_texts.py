@@ -8,7 +8,7 @@ import pytest
 from sparkloom.llm.overlaps import cross_split_pairs, overlap_classes, overlap_report
 from sparkloom.llm.packing import pack, plan
 from sparkloom.llm.products import product_groups, same_product
-from sparkloom.llm.sentences import sentences, split_line
+from sparkloom.llm.sentences import sentences, split_line, stopped_words
 from sparkloom.llm.titles import agree, attributes, canonical_words
 from sparkloom.llm.tokens import Lexicon, count_words, encode, frequent_words, load_ranks, merge_word, pieces, spaced
 
@@ -181,6 +181,17 @@ def test_sentence_cases(line, want):
     assert [line[a:b] for a, b in split_line(line)] == want
 
 
+def test_abbreviations_are_learnt_from_the_texts(spark):
+    text = "The Fed. Reserve met. It was late."
+    alone = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    found = lambda df: [text[r.start_char : r.end_char] for r in sorted(sentences(df).filter("doc_id = 1").collect(), key=lambda r: r.start_char)]
+    assert found(alone) == ["The Fed.", "Reserve met.", "It was late."]
+    more = spark.createDataFrame([(k, f"Then the Fed. {w} again. All was well.") for k, w in enumerate("said met rose fell lent paid cut held kept sold".split(), 2)], "doc_id bigint, text string")
+    assert found(alone.unionByName(more)) == ["The Fed. Reserve met.", "It was late."]
+    counts = {r.word: (r.n_small, r.n_other) for r in stopped_words(alone.unionByName(more)).collect()}
+    assert counts["fed"] == (10, 1) and counts["again"] == (0, 10) and counts["met"] == (0, 1)
+
+
 def test_sentence_positions_are_code_points(spark):
     text = "🙂 One. Two.\r\n\n* Three\n" + "Abc def. " * 20_000
     df = spark.createDataFrame([(1, text, 0), (2, None, 0), (3, "", 0), (4, " \n ", 0)], "doc_id bigint, text string, start_char int")
