@@ -92,8 +92,9 @@ def classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     schema = pa.schema([pa.field("parent_asin", pa.string()), *_RECORD])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none: list = []
         for b in batches:
-            rows = []
+            out: dict[str, list] = {f.name: [] for f in schema}
             for asin, title, features, store, kind in zip(*(c.to_pylist() for c in b.columns)):
                 flat = plain(title), plain(features)
                 words = _name_words(title, flat[0])
@@ -101,15 +102,12 @@ def classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
                     continue
                 stated = {k: sorted(v) for k, v in attributes(title, features, flat).items()}
                 brand = _brand(flat[1], store, words)
-                row = {"parent_asin": asin, "class": _number(repr((sorted(words), brand, kind, sorted(stated.items())))), "words": words, "brand": brand, "kind": kind}
-                row["brand_no"], row["kind_no"] = (None if x is None else _number(x) for x in (brand, kind))
-                row["grams"] = _grams(words)
-                for k in _STATED:
-                    row[k] = [x if isinstance(x, int) else _number(x) for x in stated.get(k, ())]
-                for k in MEASURES:
-                    row[k] = stated.get(k, [])
-                rows.append(row)
-            yield pa.RecordBatch.from_pylist(rows, schema)
+                values = [asin, _number(repr((sorted(words), brand, kind, sorted(stated.items())))), words, brand, kind, *(None if x is None else _number(x) for x in (brand, kind)), _grams(words)]
+                values += [[x if isinstance(x, int) else _number(x) for x in stated[k]] if k in stated else none for k in _STATED]
+                values += [stated.get(k, none) for k in MEASURES]
+                for column, x in zip(out.values(), values):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
     slim = items.select(
         F.col("parent_asin").cast("string").alias("parent_asin"), "title", "features", "store",

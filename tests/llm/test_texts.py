@@ -282,6 +282,36 @@ def test_products(spark):
     assert same_product(df.limit(0)).collect() == []
 
 
+def test_a_line_of_very_many_classes(spark, monkeypatch):
+    """Every listing is a class of its own and shares the line's name; two of each size describe one product."""
+    from sparkloom.llm import products as PD
+
+    monkeypatch.setattr(PD, "BLOCK", 256)
+    rows = [(f"Q{i:05d}", f"Tumuba Bilakaso {'Frying Pan' if i % 2 else 'Skillet'} AB-{10000 + i // 2}", "s", "Brand: Tumuba", ["a", "b", "Frying Pan"]) for i in range(3000)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], ITEMS)
+    assert {tuple(r) for r in same_product(df).collect()} == {(f"Q{i:05d}", f"Q{i + 1:05d}") for i in range(0, 3000, 2)}
+
+
+def test_frequent_words_without_a_brand_block_with_a_second_word(spark, monkeypatch):
+    from sparkloom.llm import products as PD
+
+    monkeypatch.setattr(PD, "RARE", 2)
+    rows = [("A1", "Bilakaso Ravikelo pan 8 in", None, "", ["a"]), ("A2", "Ravikelo Bilakaso skillet 8 in", None, "", ["a"]), ("A3", "Bilakaso Sumodo pan 9 in", None, "", ["a"]), ("A4", "Bilakaso Dorime lid", None, "", ["a"])]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], ITEMS)
+    made, _ = PD.classes(df)
+    n = PD.blocked(made).groupBy("block").count().filter("count > 1").count()
+    assert n >= 1 and ("A1", "A2") in {tuple(r) for r in same_product(df).collect()}
+
+
+def test_pairs_within_large_groups_are_divided(spark, monkeypatch):
+    from sparkloom.llm import products as PD
+
+    monkeypatch.setattr(PD, "PAIRED", 7)
+    g = spark.createDataFrame([("g", f"k{i:02d}") for i in range(40)] + [("h", "k00"), ("h", "k01"), ("i", "k05"), ("h", "k01")], "g string, p string")
+    got = [tuple(r) for r in PD.pairs_within(g, "g", "p").collect()]
+    assert len(got) == 40 * 39 // 2 + 1 and all(a < b for a, b in got)
+
+
 def test_attributes():
     a = attributes("Pan 8 in 3pk LW-76390-B blk", "Quantity: Set of Three | Size: 203 mm")
     assert a["count"] == {3} and a["model"] == {"LW76390B"} and a["colour"] == {"black"} and len(a["length"]) == 2
