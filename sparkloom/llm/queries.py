@@ -35,6 +35,11 @@ def p3_pairs(spark, folder):
     return pair_counts(_table(spark, folder, "interactions"))
 
 
+def p3_counts(spark, folder):
+    """The same pairs with their counts and ratio only, which SQL can say too."""
+    return pair_counts(_table(spark, folder, "interactions"), surprise=False).select("asin_a", "asin_b", "n_ab", "n_a", "n_b", F.round("ratio", 6).alias("ratio"))
+
+
 def p3_found(spark, folder):
     return p3_pairs(spark, folder).select("asin_a", "asin_b")
 
@@ -99,7 +104,7 @@ def p10_found(spark, folder):
     return sentences(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sequences, p3_found, p3_pairs, p4_found, p4_clusters, p5_found, p5_report, p6_found, p6_groups, p7_found, p7_neighbours, p8_ids, p9_pack, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_sequences, p3_found, p3_pairs, p3_counts, p4_found, p4_clusters, p5_found, p5_report, p6_found, p6_groups, p7_found, p7_neighbours, p8_ids, p9_pack, p10_found)}
 
 _P2 = """
 WITH v AS (SELECT DISTINCT user_id AS u, parent_asin AS a, timestamp_ms AS t FROM interactions
@@ -114,7 +119,7 @@ GROUP BY p.a, p.b, f.a HAVING count(*) >= (SELECT n FROM need)"""
 _P3 = """
 WITH b AS (SELECT DISTINCT user_id AS u, parent_asin AS a FROM interactions WHERE user_id <> '' AND parent_asin <> ''),
 n AS (SELECT a, count(*) AS n FROM b GROUP BY a), total AS (SELECT count(DISTINCT u) AS n FROM b)
-SELECT x.a AS asin_a, y.a AS asin_b
+SELECT x.a AS asin_a, y.a AS asin_b{n}
 FROM b x JOIN b y ON x.u = y.u AND x.a < y.a JOIN n na ON na.a = x.a JOIN n nb ON nb.a = y.a, total
 GROUP BY x.a, y.a, na.n, nb.n, total.n
 HAVING count(*) >= 20 AND count(*) * total.n * 1.0 / (na.n * nb.n) >= 4"""
@@ -133,5 +138,6 @@ SQL = {
     "p4_found": _P4,
     "p2_sequences": _P2.format(n=", count(*) AS n_users"),
     "p2_found": _P2.format(n=""),
-    "p3_found": _P3,
+    "p3_found": _P3.format(n=""),
+    "p3_counts": _P3.format(n=", count(*) AS n_ab, na.n AS n_a, nb.n AS n_b, round(count(*) * total.n * 1.0::DOUBLE / (na.n * nb.n), 6) AS ratio"),
 }
