@@ -190,6 +190,16 @@ def stars(ids: np.ndarray, raw: np.ndarray, least_cosine: float) -> tuple[np.nda
     return (np.concatenate(roots), np.concatenate(others)) if roots else (none, none)
 
 
+def across(x: np.ndarray, y: np.ndarray, least_cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two blocks of unit vectors that have a link, or nearly, with a row of the other."""
+    a, b = np.zeros(len(x), bool), np.zeros(len(y), bool)
+    for lo in range(0, len(x), 512):
+        s = x[lo : lo + 512] @ y.T >= least_cosine - 1e-5
+        a[lo : lo + 512] = s.any(axis=1)
+        b |= s.any(axis=0)
+    return np.flatnonzero(a), np.flatnonzero(b)
+
+
 @dataclass
 class Tree:
     """A mixture, and the mixtures of its crowded components. Cells number the components that are not divided, and those that divide others."""
@@ -334,7 +344,8 @@ def similarity_clusters(
                     continue
                 x, y = reader.get(i), reader.get(j)
                 if i != j:
-                    a, b = stars(np.concatenate([x.rep, y.rep]), np.concatenate([x.raw, y.raw]), least_cosine)
+                    p, q = across(x.near, y.near, least_cosine)
+                    a, b = stars(np.concatenate([x.rep[p], y.rep[q]]), np.concatenate([x.raw[p], y.raw[q]]), least_cosine)
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
                     continue
                 at = np.flatnonzero(np.r_[True, np.diff(x.cell) != 0, True])
