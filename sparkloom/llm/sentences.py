@@ -16,11 +16,16 @@ particles and verbs of saying; Thai, which has no terminator, takes its gaps fro
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,7 +196,7 @@ def _runs_on(line: str, s: int, at: int) -> bool:
     return any(_says(segment(c, words)) for c in {clauses[0], clauses[-1]})
 
 
-def _ends(line: str, s: int, e: int, after: int, quoted: bool, never: frozenset[str]) -> bool:
+def _ends(line: str, s: int, e: int, after: int, quoted: bool, never: Container[str]) -> bool:
     """Whether the terminators line[s:e], whose closers reach to after, end a sentence."""
     marks = line[s:e]
     rest = line[after:]
@@ -218,7 +223,7 @@ def _ends(line: str, s: int, e: int, after: int, quoted: bool, never: frozenset[
     return _full_stop_ends(line, s, after, nxt, never)
 
 
-def _ends_unspaced(line: str, s: int, after: int, nxt: str, never: frozenset[str]) -> bool:
+def _ends_unspaced(line: str, s: int, after: int, nxt: str, never: Container[str]) -> bool:
     """A full stop without a space behind it ends a sentence between a whole word, or a long number, and a capital
     or a letter of a script without capitals; else it belongs to a name, number or address."""
     raw = _DELIMITER.split(line[max(0, s - 24) : s])[-1].strip("'’*")
@@ -227,7 +232,7 @@ def _ends_unspaced(line: str, s: int, after: int, nxt: str, never: frozenset[str
     return begins and whole and _full_stop_ends(line, s, after, nxt, never)
 
 
-def _full_stop_ends(line: str, s: int, after: int, nxt: str, never: frozenset[str]) -> bool:
+def _full_stop_ends(line: str, s: int, after: int, nxt: str, never: Container[str]) -> bool:
     """Classifies a single full stop by the words on both sides of it."""
     raw = _DELIMITER.split(line[max(0, s - 24) : s])[-1].strip("'’*")
     if not raw or (len(raw) > LONGEST and raw.isalpha()):
@@ -280,7 +285,7 @@ def _thai_gaps(line: str, spans: list[tuple[int, int, str]]) -> list[tuple[int,
     return out
 
 
-def split_line(line: str, never: frozenset[str] = NEVER_FINAL) -> list[tuple[int, int]]:
+def split_line(line: str, never: Container[str] = NEVER_FINAL) -> list[tuple[int, int]]:
     """Sentences of one line as (start, end) in code points; see sentences(). never: abbreviations that end no sentence."""
     if not line or line.isspace():
         return []
@@ -343,7 +348,7 @@ def _bracket_sentence(line: str, a: int, cuts: list[tuple[int, int]], head: int)
     return not line[start:a].strip(_TRAIL_SPACE)
 
 
-def split_text(text: str, cache: dict[str, list[tuple[int, int]]], never: frozenset[str] = NEVER_FINAL) -> tuple[list[int], list[int]]:
+def split_text(text: str, cache: dict[str, list[tuple[int, int]]], never: Container[str] = NEVER_FINAL) -> tuple[list[int], list[int]]:
     """Starts and ends of all sentences of a text, in code points."""
     starts: list[int] = []
     ends: list[int] = []
@@ -367,7 +372,7 @@ CACHE_CHARS = 1 << 23
 LONGEST = 8
 #: A word is learnt as an abbreviation from so many small letters behind its full stops, and this share of the letters there.
 LEAST_SMALL, SMALL_SHARE = 8, 0.9
-#: Learnt abbreviations at most; with more, those of more occurrences are wanted, twice as many each time.
+#: Learnt abbreviations that come to the driver and go out with the tasks; more are read by the workers from the shared folder.
 MOST_LEARNT = 4096
 _STOPPED = re.compile(r"(?<![\w.])([^\W\d_]{2,8})\. ([^\W\d_])")
 
@@ -402,15 +407,60 @@ def stopped_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return slim.mapInArrow(work, "word string, n_small bigint, n_other bigint").groupBy("word").agg(F.sum("n_small").alias("n_small"), F.sum("n_other").alias("n_other"))
 
 
-def learnt_abbreviations(docs: DataFrame, text_col: str = "text") -> frozenset[str]:
-    """Words that sentences run on from behind a full stop, by all texts; at most MOST_LEARNT come to the driver."""
-    found = materialize(stopped_words(docs, text_col).filter((F.col("n_small") >= LEAST_SMALL) & (F.col("n_small") >= SMALL_SHARE * (F.col("n_small") + F.col("n_other")))))
-    least = LEAST_SMALL
-    while found.filter(F.col("n_small") >= least).count() > MOST_LEARNT:
-        least *= 2
-    out = frozenset(r.word for r in found.filter(F.col("n_small") >= least).select("word").collect())
+#: The words that this process read last, by their files: a worker's tasks share them.
+_READ: dict[tuple[str, ...], pa.Array] = {}
+
+
+@dataclass
+class StoredWords:
+    """Words that stay in Parquet files of the shared folder; a worker holds them as one sorted column, of some 15 bytes a word."""
+
+    files: tuple[str, ...]
+    known: dict[str, bool] = field(default_factory=dict)
+
+    def column(self) -> pa.Array:
+        if self.files not in _READ:
+            parts = []
+            for file in self.files:
+                where, path = fs.FileSystem.from_uri(file)
+                with where.open_input_file(path) as f:
+                    parts += pq.read_table(f, columns=["word"], use_threads=False).column("word").chunks
+            words = pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+            _READ.clear()
+            _READ[self.files] = words.take(pc.sort_indices(words))  # by bytes, which is the order of code points
+        return _READ[self.files]
+
+    def __contains__(self, word: str) -> bool:
+        hit = self.known.get(word)
+        if hit is None:
+            if len(self.known) > 1 << 16:
+                self.known.clear()
+            words = self.column()
+            at = bisect_left(range(len(words)), word, key=lambda i: words[i].as_py())
+            hit = self.known[word] = at < len(words) and words[at].as_py() == word
+        return hit
+
+
+@dataclass
+class EitherOf:
+    """What one of two sets of words holds."""
+
+    listed: Container[str]
+    learnt: Container[str]
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.listed or word in self.learnt
+
+
+def learnt_abbreviations(docs: DataFrame, text_col: str = "text") -> Container[str]:
+    """All words that sentences run on from behind a full stop, by all texts. More than MOST_LEARNT don't come to the driver but stay in the shared folder."""
+    shown = (F.col("n_small") >= LEAST_SMALL) & (F.col("n_small") >= SMALL_SHARE * (F.col("n_small") + F.col("n_other")))
+    found = materialize(stopped_words(docs, text_col).filter(shown & ~F.col("word").isin(*(MAYBE_FINAL | BEFORE_NUMBER))).select("word"))
+    if found.count() > MOST_LEARNT:
+        return StoredWords(tuple(sorted(found.inputFiles())))  # the files stay as long as the result may be computed
+    out = frozenset(r.word for r in found.collect())
     release(found)
-    return out - MAYBE_FINAL - BEFORE_NUMBER
+    return out
 
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -421,7 +471,8 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows' sentences once for each row. Other columns are ignored. Abbreviations are those of
     the lists and those that the texts themselves show.
     """
-    never = NEVER_FINAL | learnt_abbreviations(docs, text_col)
+    learnt = learnt_abbreviations(docs, text_col)
+    never = NEVER_FINAL | learnt if isinstance(learnt, frozenset) else EitherOf(NEVER_FINAL, learnt)
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("text <> ''")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,10 +5,11 @@ import random
 import numpy as np
 import pytest
 
+from sparkloom.llm import sentences as S
 from sparkloom.llm.overlaps import cross_split_pairs, overlap_classes, overlap_report
 from sparkloom.llm.packing import pack, plan
 from sparkloom.llm.products import product_groups, same_product
-from sparkloom.llm.sentences import sentences, split_line, stopped_words
+from sparkloom.llm.sentences import learnt_abbreviations, sentences, split_line, stopped_words
 from sparkloom.llm.titles import agree, attributes, canonical_words
 from sparkloom.llm.tokens import Lexicon, count_words, encode, frequent_words, load_ranks, merge_word, pieces, spaced
 
@@ -192,6 +193,21 @@ def test_abbreviations_are_learnt_from_the_texts(spark):
     assert counts["fed"] == (10, 1) and counts["again"] == (0, 10) and counts["met"] == (0, 1)
 
 
+def test_no_learnt_abbreviation_is_dropped(spark, monkeypatch):
+    """More words than the driver takes, the rarer ones too, and one behind all others."""
+    words = [*(a + b + "x" for a in "bcdfg" for b in "aeiou"), "зб", "𐐨𐐨"]
+    counts = {w: 10 + 40 * (k % 2) for k, w in enumerate(words)}
+    rows = [f"Then the {w}. said again. All was well." for w, n in counts.items() for _ in range(n)]
+    probe = "\n".join(f"The {w}. Reserve met." for w in words)
+    df = spark.createDataFrame([(0, probe), *enumerate(rows, 1)], "doc_id bigint, text string")
+    monkeypatch.setattr(S, "MOST_LEARNT", 10)
+    assert isinstance(learnt_abbreviations(df), S.StoredWords)
+    got = sorted((r.start_char, r.end_char) for r in sentences(df).filter("doc_id = 0").collect())
+    assert [probe[a:b] for a, b in got] == probe.split("\n")
+    stored = learnt_abbreviations(df)
+    assert all(w in stored for w in words) and not any(w in stored for w in ("", "a", "again", "baxx", "𐐩", "vol"))
+
+
 def test_sentence_positions_are_code_points(spark):
     text = "🙂 One. Two.\r\n\n* Three\n" + "Abc def. " * 20_000
     df = spark.createDataFrame([(1, text, 0), (2, None, 0), (3, "", 0), (4, " \n ", 0)], "doc_id bigint, text string, start_char int")
