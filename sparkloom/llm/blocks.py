@@ -86,6 +86,12 @@ def write_blocks(rows: DataFrame, n_blocks: int, dim: int) -> Blocks:
     return Blocks(files, folder, dim)
 
 
+def near_unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in single precision."""
+    n = np.einsum("ij,ij->i", x, x)
+    return x / np.sqrt(n)[:, None] if len(x) and n.min() > 1e-20 and n.max() < 1e20 else unit(x).astype(np.float32) if len(x) else x
+
+
 @dataclass
 class Block:
     """cell, rep, raw vectors and unit vectors of a block's rows."""
@@ -103,8 +109,8 @@ class Block:
 class Reader:
     """A worker's way to the blocks, which keeps the ones used last."""
 
-    def __init__(self, blocks: Blocks) -> None:
-        self.blocks = blocks
+    def __init__(self, blocks: Blocks, most: int = CACHE_BYTES) -> None:
+        self.blocks, self.most = blocks, most
         self.held: OrderedDict[int, Block] = OrderedDict()
         self.bytes = 0
 
@@ -117,9 +123,9 @@ class Reader:
         with where.open_input_file(path) as f:
             t = pq.read_table(f, columns=["cell", "rep", "vec"], use_threads=False)
         raw = np.ascontiguousarray(matrix(t.column("vec"), self.blocks.dim))
-        got = Block(t.column("cell").to_numpy(), t.column("rep").to_numpy(), raw, unit(raw).astype(np.float32) if len(raw) else raw)
+        got = Block(t.column("cell").to_numpy(), t.column("rep").to_numpy(), raw, near_unit(raw))
         self.held[number] = got
         self.bytes += got.nbytes
-        while self.bytes > CACHE_BYTES and len(self.held) > 2:
+        while self.bytes > self.most and len(self.held) > 2:
             self.bytes -= self.held.popitem(last=False)[1].nbytes
         return got

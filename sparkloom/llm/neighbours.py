@@ -1,21 +1,26 @@
 """The k most similar vectors of every vector by multiprobe p-stable hashing.
 
-A hash is the cell of a random projection, floor((a x + b) / w). Directions a are drawn
-from the normal distribution with the data's covariance; widths w follow the spread of what
-is hashed, and a cell that is still crowded is hashed again by its widest direction, so
-that a table's cells are boxes in the space of the projections and hold about as many
-vectors each. Every vector is stored in its cell in each of several tables.
-
-A query visits cells in the order of their estimated success: a vector at distance r lies,
-in a few orthonormal directions, at a small share of r squared, so the nearer the border of
-a cell the likelier it holds one. What share suffices is measured when a table is made, on
-a bounded sample whose neighbours are known. The best similarity found so far gives r, so
-queries with near neighbours stop early and only lonely ones look far. Candidates of all
-tables are merged and ranked by the exact cosine. With exact=True a query visits every cell
-that the distance to its border does not exclude, and nothing is lost.
+A hash is the winner among several random projections: directions a are drawn from the
+normal distribution (2-stable) with the data's covariance, projections a x are standardised,
+and the largest names the hash. A pair of hashes is a cell. Every vector is stored in its
+cell in each of several tables.
+
+A query visits cells in the order of their scores, the sum of its own projections on the
+cell's two directions: the nearer a vector, the larger the part of its own winning
+projections that the query shares. What score suffices at a cosine is measured when a table
+is made, on a bounded sample whose neighbours are known. The best similarities found so far
+give the cosine, so queries with near neighbours stop early and only lonely ones look far.
+Candidates of all tables are merged and ranked by the exact cosine. Winners of pairs are used
+because their cells are the narrower the more there are: the share of all vectors that a
+lonely query looks at falls with more vectors, while that of boxes hardly does.
+
+With exact=True there is one table of boxes instead, cells floor((a x + b) / w) of single
+projections, hashed again by the widest direction where they are crowded. The distance to a
+box's border bounds what it holds; a query visits every box that this does not exclude, and
+nothing is lost.
 
 Vectors are written once for each table, sorted by cell, in blocks of bounded size; the
-task of a block of queries reads the blocks that they visit (blocks.py), so no vector is
+task of some blocks of queries reads the blocks that they visit (blocks.py), so no vector is
 shuffled to its queries.
 """
 
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.blocks import BLOCK, Blocks, Reader, block_of, cell_counts, lay_out, write_blocks
+from sparkloom.llm.blocks import BLOCK, CACHE_BYTES, Blocks, Reader, block_of, cell_counts, lay_out, write_blocks
 from sparkloom.llm.vectors import Vectors, first_members, matrix, sample, unit, usable
 from sparkloom.shared import materialize
 
@@ -39,15 +45,25 @@ TABLES, DIRECTIONS, WIDTH = 2, 16, 1.9
 #: Vectors of a cell at most where the sample can tell, rows of the sample that tables are fitted to, and its rows in a cell at least.
 CELL, FIT_ROWS, LEAST_FIT = 600, 32_768, 8
 #: Share of true neighbours that the cells visited in all tables shall hold, and the sample's queries that measure it.
-RECALL, MEASURED = 0.98, 512
-#: Queries of a task, and numbers held for the cells of a batch of queries.
+RECALL, MEASURED, PAIR_MEASURED = 0.98, 512, 2048
+#: Cosines that are computed at a time, which the processor's cache holds.
+TILE = 1 << 18
+#: Queries of a task, and numbers held for the cells of a batch of queries, of an exact search.
 QUERIES, SCORES = 8192, 1 << 23
+#: Rows of a pair's cell, directions of each hash at most, and queries of a task.
+PAIR_CELL, MOST_DIRECTIONS, PAIR_QUERIES = 200, 160, 65_536
+#: Parts of the sample, by the cosine of their neighbours, that are measured apart.
+WIDTHS = 8
+#: Share of the cells that the second pass looks at.
+SECOND_PASS = 0.01
 #: The first cells that are visited at a time; each further round takes so many times more.
 FIRST_VISITS, MORE_VISITS = 1, 6
+#: The score of a cell, the sum of two standardised projections, that this share of cells exceeds.
+SECOND_SCORE = 2**0.5 * NormalDist().inv_cdf(1 - SECOND_PASS)
 
 
 class Table:
-    """One table: its directions, and a tree of hashes whose leaves are cells, each a box in the projections' space."""
+    """One table of boxes: its directions, and a tree of hashes whose leaves are cells, each a box in the projections' space."""
 
     def __init__(self, x: np.ndarray, total: int, k: int, seed: int, recall: float) -> None:
         """x: unit vectors of the sample; total: vectors that the table will hold; k: neighbours that are sought."""
@@ -148,17 +164,81 @@ class Table:
         return out
 
 
+class Pair:
+    """One table: a pair of hashes, each the largest of several standardised Gaussian projections; a cell is a pair of winners."""
+
+    def __init__(self, x: np.ndarray, total: int, k: int, seed: int, recall: float) -> None:
+        """x: unit vectors of the sample; total: vectors that the table will hold; k: neighbours that are sought."""
+        rng = np.random.default_rng(seed)
+        dim = x.shape[1]
+        values, axes = np.linalg.eigh(np.cov(x.T, bias=True).reshape(dim, dim))
+        root = axes * np.sqrt(np.maximum(values, 1e-12))
+        self.m = int(np.clip(np.sqrt(total / PAIR_CELL), 1, MOST_DIRECTIONS))
+        a = (root @ rng.standard_normal((dim, 2 * self.m))).astype(np.float32)
+        x = x.astype(np.float32)
+        p = x @ a
+        spread = np.maximum(p.std(axis=0), 1e-9)
+        self.a, self.shift = a / spread, p.mean(axis=0) / spread
+        del p
+        self.win, self.at, self.width = self._measure(x, k, recall, rng)
+
+    def __len__(self) -> int:
+        return self.m * self.m
+
+    def project(self, x: np.ndarray) -> np.ndarray:
+        """The standardised projections of each unit vector, a row for each direction."""
+        return self.a.T @ x.T - self.shift[:, None]
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each unit vector."""
+        out = np.zeros(len(x), np.int64)
+        for lo in range(0, len(x), 4096):
+            z = x[lo : lo + 4096] @ self.a - self.shift
+            out[lo : lo + 4096] = z[:, : self.m].argmax(axis=1) * self.m + z[:, self.m :].argmax(axis=1)
+        return out
+
+    def _measure(self, x: np.ndarray, k: int, recall: float, rng: np.random.Generator) -> tuple[float, np.ndarray, np.ndarray]:
+        """The mean of the winners' sum, and how many standard deviations below what is expected of it that share of the sample's neighbours reaches, by their cosine."""
+        if len(x) < 2:
+            return 0.0, np.zeros(1), np.full(1, np.inf)
+        z = self.project(x)
+        win = float((z[: self.m].max(axis=0) + z[self.m :].max(axis=0)).mean())
+        q = rng.choice(len(x), min(PAIR_MEASURED, len(x)), replace=False)
+        k = min(k, len(x) - 1)
+        near, least = np.zeros((len(q), k), np.int64), np.zeros(len(q), np.float32)
+        for lo in range(0, len(q), 64):  # the driver holds few of the sample's cosines at a time
+            part = q[lo : lo + 64]
+            s = x[part] @ x.T
+            s[np.arange(len(part)), part] = -9
+            near[lo : lo + 64] = np.argpartition(s, len(x) - k, axis=1)[:, len(x) - k :]
+            least[lo : lo + 64] = np.take_along_axis(s, near[lo : lo + 64], 1).min(axis=1)
+        cell = self.cells(x[near.ravel()]).reshape(near.shape)
+        score = z[cell // self.m, q[:, None]] + z[self.m + cell % self.m, q[:, None]]
+        off = (score - least[:, None] * win) / _spread(least)[:, None]
+        parts = np.array_split(np.argsort(least), max(1, min(WIDTHS, len(q) // 64)))
+        return win, np.array([least[r].mean() for r in parts]), np.array([-np.quantile(off[r], 1 - recall) for r in parts])
+
+    def wanted(self, least: np.ndarray) -> np.ndarray:
+        """The score of a cell from which on it may hold a neighbour as near as least, which each query has already."""
+        return np.where(least < -1, -np.inf, least * self.win - np.interp(least, self.at, self.width) * _spread(least)).astype(np.float32)
+
+
+def _spread(cosine: np.ndarray) -> np.ndarray:
+    """Standard deviation of the sum of two projections of a neighbour at that cosine."""
+    return np.sqrt(np.maximum(2 * (1 - np.square(np.clip(cosine, -1, 1))), 1e-6))
+
+
 @dataclass
 class Stored:
     """A table with its blocks: the first block of each cell and how many it has (0: the cell is empty)."""
 
-    table: Table
+    table: Table | Pair
     blocks: Blocks
     first: np.ndarray
     count: np.ndarray
 
 
-def store(v: Vectors, table: Table) -> Stored:
+def store(v: Vectors, table: Table | Pair) -> Stored:
     """Writes all vectors by their cells. Cells follow each other in blocks; a crowded cell has several of its own."""
     dim = v.dim
 
@@ -220,8 +300,9 @@ class Search:
         """Compares some queries with some vectors; those that may be among the k best are scored exactly."""
         for lo in range(0, len(rep), 4096):
             part = slice(lo, lo + 4096)
-            for qo in range(0, len(who), 4096):
-                w = who[qo : qo + 4096]
+            step = max(64, TILE // len(near[part]))
+            for qo in range(0, len(who), step):
+                w = who[qo : qo + step]
                 s = self.near[w] @ near[part].T
                 self.visits += s.size
                 least = self.least[w]
@@ -244,12 +325,35 @@ class Search:
             *best, self.least = _merge(*(np.concatenate(x) for x in zip(*self.held)), self.k, len(self.ids))
             self.held, self.fresh = [tuple(best)], 0
 
-    def visit(self, stored: Stored, reader: Reader, exact: bool) -> None:
-        """Visits the table's cells round by round, the likeliest first, as long as they may hold something better."""
+    def visit_pairs(self, stored: list[Stored], readers: list[Reader]) -> None:
+        """Visits the cells of pairs of winners in three passes over all tables: the own cell, the likeliest, and all that may hold something better."""
+        before = [np.full(len(self.ids), np.inf, np.float32) for _ in stored]
+        for p in range(3):
+            for k, (t, reader) in enumerate(zip(stored, readers)):
+                pair = t.table
+                z = pair.project(self.near)
+                z1, z2 = z[: pair.m], z[pair.m :]
+                best2 = z2.max(axis=0)
+                own = z1.max(axis=0) + best2
+                floor = (own, np.minimum(own, np.float32(SECOND_SCORE)), np.full(len(own), -np.inf, np.float32))[p]
+                for i in range(pair.m):
+                    if not stored[k].count[i * pair.m : (i + 1) * pair.m].any():
+                        continue
+                    wanted = np.maximum(floor, pair.wanted(self.least))
+                    who = np.flatnonzero((z1[i] + best2 >= wanted) & (wanted < before[k]))
+                    if not len(who):
+                        continue
+                    score = z2[:, who] + z1[i, who]
+                    j, at = np.nonzero((score >= wanted[who]) & (score < before[k][who]))
+                    if len(j):
+                        self._round(t, reader, who[at], i * pair.m + j, grouped=True)
+                before[k] = floor
+            self.merge()
+
+    def visit(self, stored: Stored, reader: Reader) -> None:
+        """Visits the table's cells round by round, the nearest first, as long as they may hold something better."""
         table = stored.table
         far = table.borders(self.near)
-        if not exact:
-            far /= table.bounded * max(table.share, 1e-9)
         far[:, stored.count == 0] = np.inf
         done, width = 0, FIRST_VISITS
         active = np.arange(len(self.ids))
@@ -269,9 +373,10 @@ class Search:
             active = active[far[active].min(axis=1) <= (2 - 2 * self.least[active]) + 1e-5] if not last else active[:0]
             done, width = 0, width * MORE_VISITS  # visited cells are out of the order, so it begins anew
 
-    def _round(self, stored: Stored, reader: Reader, who: np.ndarray, cell: np.ndarray) -> None:
-        order = np.argsort(cell, kind="stable")
-        who, cell = who[order], cell[order]
+    def _round(self, stored: Stored, reader: Reader, who: np.ndarray, cell: np.ndarray, grouped: bool = False) -> None:
+        if not grouped:
+            order = np.argsort(cell, kind="stable")
+            who, cell = who[order], cell[order]
         cells, at = np.unique(cell, return_index=True)
         for c, lo, hi in zip(cells.tolist(), at.tolist(), [*at[1:].tolist(), len(cell)]):
             for b in range(int(stored.first[c]), int(stored.first[c] + stored.count[c])):
@@ -290,28 +395,38 @@ def fit_tables(x: np.ndarray, total: int, k: int, seed: int, tables: int = TABLE
 def nearest(v: Vectors, k: int, seed: int = 7, exact: bool = False, tables: int = TABLES, recall: float = RECALL) -> DataFrame:
     """(rep, c, cosine): up to k most similar other distinct vectors of every distinct vector."""
     spark = v.distinct.sparkSession
-    made = fit_tables(sample(v, FIT_ROWS), v.count, k, seed, 1 if exact else tables, recall)
+    x = sample(v, FIT_ROWS)
+    if exact:
+        made: list[Table] | list[Pair] = fit_tables(x, v.count, k, seed, 1)
+        step, group = min(QUERIES, max(256, SCORES // len(made[0]))), 1
+    else:
+        made = [Pair(x, v.count, k, seed + i, 1 - (1 - recall) ** (1 / tables)) for i in range(tables)]
+        step, group = 2 * BLOCK, max(1, min(PAIR_QUERIES, v.count // 18) // block_rows(v.count))
     stored = [store(v, t) for t in made]
-    shared = spark.sparkContext.broadcast(stored)  # boxes of at most FIT_ROWS / LEAST_FIT cells, and a name for each block
-    step = min(QUERIES, max(256, SCORES // max(len(t) for t in made)))
-    tasks = [(b, lo) for b in sorted(stored[0].blocks.files) for lo in range(0, 2 * BLOCK, step)]
+    shared = spark.sparkContext.broadcast(stored)  # directions or boxes of a bounded number of cells, and a name for each block
+    files = sorted(stored[0].blocks.files)
+    tasks = [(files[b : b + group], lo) for b in range(0, len(files), group) for lo in range(0, 2 * block_rows(v.count), step)]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        readers = [Reader(s.blocks) for s in shared.value]
+        readers = [Reader(s.blocks, CACHE_BYTES // len(shared.value)) for s in shared.value]
         for batch in batches:
-            for b, lo in zip(*(c.to_pylist() for c in batch.columns)):
-                own = readers[0].get(b)
-                part = slice(lo, lo + step if lo + step < 2 * BLOCK else None)
-                if not len(own.rep[part]):
+            for numbers, lo in zip(*(c.to_pylist() for c in batch.columns)):
+                own = [readers[0].get(b) for b in numbers]
+                part = slice(lo, lo + step if lo + step < 2 * block_rows(v_count) else None)
+                rep, raw = (np.concatenate([getattr(o, name)[part] for o in own]) for name in ("rep", "raw"))
+                own.clear()
+                if not len(rep):
                     continue
-                s = Search(own.rep[part], own.raw[part], k)
-                for t, r in zip(shared.value, readers):
-                    s.visit(t, r, exact)
+                s = Search(rep, raw, k)
+                if exact:
+                    s.visit(shared.value[0], readers[0])
+                else:
+                    s.visit_pairs(shared.value, readers)
                 who, cand, cosine = s.held[0] if s.held else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
                 yield pa.RecordBatch.from_arrays([pa.array(s.ids[who]), pa.array(cand), pa.array(cosine)], ["rep", "c", "cosine"])
 
-    per = max(1, min(len(tasks), v.count // min(step, block_rows(v.count))))
-    work = spark.createDataFrame(tasks, "block bigint, lo int").filter(F.col("lo") < 2 * block_rows(v.count)).repartition(per, "block", "lo")
+    v_count = v.count
+    work = spark.createDataFrame(spark.sparkContext.parallelize(tasks, max(1, min(len(tasks), 4096))), "blocks array<bigint>, lo int")
     found = materialize(work.mapInArrow(search, "rep bigint, c bigint, cosine double"))
     for s in stored:
         s.blocks.release(spark)

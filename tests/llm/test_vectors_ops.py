@@ -102,6 +102,34 @@ def test_queries_visit_the_cells_of_their_neighbours(count):
     assert seen.mean() > 0.95 and share < 0.5, (seen.mean(), share)
 
 
+@pytest.mark.parametrize(("count", "most"), [(90_000, 0.3), (1_000_000, 0.18), (10_000_000, 0.14)])
+def test_work_of_a_query_falls_with_more_vectors(count, most):
+    """Tables as fine as for that many vectors; boxes looked at 0.21, 0.20 and 0.20 of all here, two tables together."""
+    x = sf_vectors()
+    rng = np.random.default_rng(0)
+    fit, q = rng.permutation(len(x))[:6000], rng.choice(len(x), 500, replace=False)
+    s = x[q] @ x.T
+    s[np.arange(len(q)), q] = -9
+    true = np.argsort(-s, axis=1)[:, :5]
+    seen, share = np.zeros(true.shape, bool), 0.0
+    for t in (N.Pair(x[fit], count, 5, 7 + i, 1 - (1 - N.RECALL) ** 0.5) for i in range(N.TABLES)):
+        cell, z = t.cells(x.astype(np.float32)), t.project(x[q].astype(np.float32)).T
+        visited = z[:, cell // t.m] + z[:, t.m + cell % t.m] >= t.wanted(np.take_along_axis(s, true, 1).min(axis=1))[:, None]
+        seen |= np.take_along_axis(visited, true, 1)
+        share += visited.mean()
+    assert seen.mean() > 0.94 and share < most, (seen.mean(), share)
+
+
+def test_pairs_of_hashes_find_neighbours_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(N, "PAIR_CELL", 20)
+    x = sf_vectors()[:3000].astype(np.float32)
+    s = np.round(cosines(x), 9)
+    np.fill_diagonal(s, -9)
+    want = np.argsort(-s, axis=1, kind="stable")[:, :5]
+    got = {(r.item_id, r.neighbour_id) for r in neighbours(frame(spark, x, dirty=False), k=5).collect()}
+    assert len(got) == 5 * len(x) and sum((i, j) in got for i, row in enumerate(want.tolist()) for j in row) >= 0.97 * 5 * len(x)
+
+
 def brute_clusters(x, least, size):
     s = cosines(x) >= least
     label = np.arange(len(x))
